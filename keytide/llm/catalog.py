@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from keytide.llm import linededup
+from keytide.llm.licenses import op9_license_diagonals
+from keytide.llm.linededup import op2_line_runs_dedup
 from keytide.llm.sharding import op6_hash_tree_shards
 from keytide.llm.simhash import op5_simhash_components
 
-QUERIES = {q.__name__: q for q in (op5_simhash_components, op6_hash_tree_shards)}
+QUERIES = {q.__name__: q for q in (op2_line_runs_dedup, op5_simhash_components, op6_hash_tree_shards, op9_license_diagonals)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_runs_dedup": linededup.ORACLE}
