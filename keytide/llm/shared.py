@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,9 @@ def remove_table(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once per application, so that Python workers can import it."""
+    """Sends the package to the executors once per application, so that Python workers can import it, and bounds the
+    bytes of an Arrow batch, as rows may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if (app := spark.sparkContext.applicationId) in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
