@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from keytide.llm import linededup
+from keytide.llm.decontam import op8_benchmark_windows
 from keytide.llm.licenses import op9_license_diagonals
 from keytide.llm.linededup import op2_line_runs_dedup
+from keytide.llm.mixing import op10_temperature_mix
 from keytide.llm.quality import op1_crf_quality
 from keytide.llm.sharding import op6_hash_tree_shards
 from keytide.llm.simhash import op5_simhash_components
 
-QUERIES = {q.__name__: q for q in (op1_crf_quality, op2_line_runs_dedup, op5_simhash_components, op6_hash_tree_shards, op9_license_diagonals)}
+QUERIES = {q.__name__: q for q in (op1_crf_quality, op2_line_runs_dedup, op5_simhash_components, op6_hash_tree_shards, op8_benchmark_windows, op9_license_diagonals, op10_temperature_mix)}
 
 ORACLES: dict[str, str] = {"op2_line_runs_dedup": linededup.ORACLE}
