@@ -68,4 +68,4 @@ def ship(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan, from file sizes; only used to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
