@@ -9,7 +9,7 @@ found in at least `least` documents, and the lines with such keys are dropped.
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z lower-cased; its hash has 128 bits. Documents are told apart
 by doc_id, those without one by their text. Edge cases: a null or empty text is one empty line; keys of no code points
 are never dropped; a document of which all lines go keeps the empty text; repeated rows get the same result each; an empty
-table gives an empty result; other columns are kept by `dedup_lines`, and may have any names but those that begin with "_kt_".
+table gives an empty result; other columns are kept by `dedup_lines`, but for those named as its own, and may have any names but those that begin with "_kt_".
 """
 
 from __future__ import annotations
@@ -107,8 +107,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fan
     rows = rows.withColumn("_kt_lines", F.split("_kt_text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_kt_lines") - 1), F.col("_kt_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get("_kt_lines", i)), "\n")
+    made = ("kept_text", "n_lines", "n_dropped")
     return rows.select(
-        *docs.columns,
+        *(c for c in docs.columns if c.lower() not in made),
         F.when(F.col("_kt_gone").isNull(), F.col("_kt_text")).otherwise(kept).alias("kept_text"),
         F.size("_kt_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_kt_gone"), F.lit(0)).cast("long").alias("n_dropped"),

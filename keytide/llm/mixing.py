@@ -75,24 +75,24 @@ def exponent(totals: DataFrame, repeats: float, entropy: float | None, budget: f
 
 
 def plan(rows: DataFrame, repeats: float, entropy: float | None, budget: float | None) -> DataFrame:
-    """For rows(_kt_source, _kt_key, tokens): (_kt_source, weight, passes, blocks, cut_rank, cut_key), a row for each source.
+    """For rows(_kt_source, _kt_key, tokens): (_kt_source, _kt_weight, _kt_passes, _kt_blocks, _kt_cut_rank, _kt_cut_key), a row for each source.
 
-    `passes` are whole; in one more, rows come whose block's rank is below cut_rank, or equal and their own rank at most cut_key.
+    Passes are whole; in one more, rows come whose block's rank is below the cut's, or equal and their own rank at most the cut's.
     """
     totals = saved(rows.groupBy("_kt_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
     a = exponent(totals, repeats, entropy, budget)
     every = totals.agg(F.sum("tokens")).first()[0] or 1
     shares = totals.withColumn("p", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(every), F.lit(a))))
     norm = shares.agg(F.sum("p").alias("z"), F.max(F.col("tokens") / F.col("p")).alias("most")).first()
-    shares = shares.withColumn("weight", F.coalesce(F.col("p") / F.lit(norm["z"] or 1.0), F.lit(0.0)))
-    goal = F.col("p") * F.lit(norm["most"] or 0.0) if budget is None else F.col("weight") * F.lit(float(budget))
+    shares = shares.withColumn("_kt_weight", F.coalesce(F.col("p") / F.lit(norm["z"] or 1.0), F.lit(0.0)))
+    goal = F.col("p") * F.lit(norm["most"] or 0.0) if budget is None else F.col("_kt_weight") * F.lit(float(budget))
     shares = shares.withColumn("times", F.coalesce(goal / F.col("tokens"), F.lit(1.0)))
     whole = F.floor(F.col("times") + 1e-9)
     shares = shares.select(
-        "_kt_source", "weight", whole.alias("passes"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"), (F.greatest(F.lit(0.0), F.col("times") - whole) * F.col("tokens")).alias("rest")
+        "_kt_source", "_kt_weight", whole.alias("_kt_passes"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("_kt_blocks"), (F.greatest(F.lit(0.0), F.col("times") - whole) * F.col("tokens")).alias("rest")
     )
     shares = saved(shares, "mix-plan")
-    dealt = with_plan(rows, shares).withColumns({"_kt_rank": block_rank(F.col("passes")), "_kt_own": own_rank(F.col("passes"))}).where("rest > 0")
+    dealt = with_plan(rows, shares).withColumns({"_kt_rank": block_rank(F.col("_kt_passes")), "_kt_own": own_rank(F.col("_kt_passes"))}).where("rest > 0")
     blocks = dealt.groupBy("_kt_source", "rest", "_kt_rank").agg(F.sum("tokens").alias("tokens"))
     through = Window.partitionBy("_kt_source").orderBy("_kt_rank")
     blocks = blocks.withColumn("through", F.sum("tokens").over(through)).withColumn("before", F.col("through") - F.col("tokens"))
@@ -100,8 +100,8 @@ def plan(rows: DataFrame, repeats: float, entropy: float | None, budget: float |
     at_cut = dealt.join(hinted(cut, shares), ["_kt_source", "_kt_rank"])
     own = Window.partitionBy("_kt_source").orderBy("_kt_own")
     at_cut = at_cut.withColumn("upto", F.sum("tokens").over(own)).where(F.col("before") + F.col("upto") - F.col("tokens") / 2 <= F.col("rest"))
-    keys = at_cut.groupBy("_kt_source").agg(F.max("_kt_own").alias("cut_key"))
-    ends = cut.select("_kt_source", F.col("_kt_rank").alias("cut_rank")).join(keys, "_kt_source", "left")
+    keys = at_cut.groupBy("_kt_source").agg(F.max("_kt_own").alias("_kt_cut_key"))
+    ends = cut.select("_kt_source", F.col("_kt_rank").alias("_kt_cut_rank")).join(keys, "_kt_source", "left")
     return saved(shares.join(ends, "_kt_source", "left").drop("rest"), "mix-plan")
 
 
@@ -111,7 +111,7 @@ def hinted(small: DataFrame, shares: DataFrame) -> DataFrame:
 
 def with_plan(rows: DataFrame, shares: DataFrame) -> DataFrame:
     rows = rows.join(hinted(shares, shares), "_kt_source")
-    return rows.withColumn("_kt_block", F.pmod(F.col("_kt_key"), F.col("blocks")))
+    return rows.withColumn("_kt_block", F.pmod(F.col("_kt_key"), F.col("_kt_blocks")))
 
 
 def block_rank(epoch: Column) -> Column:
@@ -127,9 +127,9 @@ def mixed(docs: DataFrame, repeats: float = REPEATS, entropy: float | None = Non
     and _kt_own (its place in the block)."""
     rows = saved(_keyed(docs).select("_kt_source", "_kt_key", n_tokens(F.col("text")).alias("tokens")), "mix-rows")
     shares = plan(rows, repeats, entropy, budget)
-    rows = with_plan(_keyed(docs), shares.select("_kt_source", F.col("weight").alias("_kt_weight"), F.col("passes").alias("_kt_passes"), "blocks", "cut_rank", "cut_key"))
+    rows = with_plan(_keyed(docs), shares.select("_kt_source", "_kt_weight", "_kt_passes", "_kt_blocks", "_kt_cut_rank", "_kt_cut_key"))
     last, own = block_rank(F.col("_kt_passes")), own_rank(F.col("_kt_passes"))
-    more = F.coalesce((last < F.col("cut_rank")) | ((last == F.col("cut_rank")) & (own <= F.col("cut_key"))), F.lit(False))
+    more = F.coalesce((last < F.col("_kt_cut_rank")) | ((last == F.col("_kt_cut_rank")) & (own <= F.col("_kt_cut_key"))), F.lit(False))
     times = F.col("_kt_passes") + more.cast("long")
     rows = rows.withColumn("_kt_times", times).where("_kt_times > 0")
     rows = rows.withColumn("_kt_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_kt_times") - 1)))

@@ -121,9 +121,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id, a null one only if there is no other."""
-    found = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("same").alias("_same"))).alias("k"))
-    key = ["_null", "_id", "_same"]
-    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_same": F.xxhash64("text")})
+    key = {"_kt_null": F.col("doc_id").isNull(), "_kt_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    found = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(*(c.alias(k) for k, c in key.items()), F.col("same").alias("_kt_same"))).alias("k"))
+    rows = docs.withColumns(key | {"_kt_same": F.xxhash64("text")})
+    key = [*key, "_kt_same"]
     return rows.join(found.select("k.*"), key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
