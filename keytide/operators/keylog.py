@@ -72,7 +72,7 @@ class WindowLoader:
     """Event-time windows over a key log, their width adapted to the numbers of entries.
 
     A window starts at the last mark (so the boundary second is read again). It is halved while one op has over `most` entries in it, and
-    doubled while it is empty. The next mark is the latest ts seen."""
+    doubled while it is empty or has nothing but the boundary second, with more to come; a window that had to be doubled is taken as it is. The next mark is the latest ts seen."""
 
     most: int = 100_000
     width: int = 3600
@@ -84,12 +84,14 @@ class WindowLoader:
         start = self.mark if self.mark is not None else (low or 0)
         if not start or high is None or start > high:
             return None
+        grown = False
         while self.width > 0:
-            largest = window(log, start, start + self.width).groupBy("op").count().agg(F.max("count")).first()[0] or 0
-            if largest > self.most:
+            sizes = window(log, start, start + self.width).groupBy("op").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+            largest, last = sizes.agg(F.max("n"), F.max("last")).first()
+            if (largest or 0) > self.most and not grown:
                 self.width //= 2
-            elif not largest:
-                self.width *= 2
+            elif not largest or (self.mark is not None and last == start < high):
+                self.width, grown = self.width * 2, True
             else:
                 return start, start + self.width
         return None
