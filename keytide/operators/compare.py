@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from keytide.operators.scans import key_range, key_set
 
 
-def _beside(src: DataFrame, dst: DataFrame, pk: str, cast: bool) -> tuple[DataFrame, Column]:
-    """The rows of both for each key in both, and whether they are equal in the source's columns."""
+def _theirs(src: DataFrame, dst: DataFrame, pk: str, cast: bool) -> tuple[DataFrame, Column]:
+    """The destination's rows under names of their own, and whether they equal the source's row beside them."""
     columns = [c for c in src.columns if c != pk]
     kinds = dict(src.dtypes)
     theirs = {c: F.col(c).try_cast(kinds[c]) if cast else F.col(c) for c in columns}
-    lost = {c: F.col(c).isNotNull() & theirs[c].isNull() for c in columns}
-    other = dst.select(pk, *(theirs[c].alias(f"_dst_{c}") for c in columns), reduce(Column.__or__, lost.values(), F.lit(False)).alias("_lost"))
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_dst_{c}")) for c in columns), ~F.col("_lost") if cast else F.lit(True))
-    return src.join(other, pk), same
+    lost = reduce(Column.__or__, (F.col(c).isNotNull() & theirs[c].isNull() for c in columns), F.lit(False))
+    other = dst.select(pk, *(theirs[c].alias(f"_dst_{c}") for c in columns), (lost if cast else F.lit(False)).alias("_lost"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_dst_{c}")) for c in columns), ~F.coalesce("_lost", F.lit(True)))
+    return other, same
 
 
 def not_imported(src: DataFrame, dst: DataFrame, pk: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -39,12 +39,8 @@ def not_inserted(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str) -> Da
 def not_updated(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str, mode: str = "base") -> DataFrame:
     """Of the keys, those whose source row isn't in the destination as it is."""
     src = key_set(src, keys, pk)
-    if mode == "base":
-        rows, same = _beside(src, dst, pk, cast=False)
-        good = rows.where(same).select(pk)
-        return src.select(pk).join(good, pk, "left_anti")
-    rows, same = _beside(src, dst, pk, cast=True)
-    return rows.where(~same).select(pk)
+    other, same = _theirs(src, dst, pk, cast=mode == "cross")
+    return src.join(other, pk, "left" if mode == "base" else "inner").where(~same).select(pk)
 
 
 def not_removed(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str) -> DataFrame:
@@ -58,9 +54,10 @@ def reinserted(src: DataFrame, keys: DataFrame, pk: str) -> DataFrame:
 
 def rematched_updated(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str, mode: str = "base") -> DataFrame:
     """Of the keys, those whose rows are equal now, and those that have gone from the source."""
-    rows, same = _beside(key_set(src, keys, pk), dst, pk, cast=mode == "cross")
+    src_rows = key_set(src, keys, pk)
+    other, same = _theirs(src, dst, pk, cast=mode == "cross")
     gone = keys.select(pk).join(src, pk, "left_anti")
-    return rows.where(same).select(pk).union(gone).distinct()
+    return src_rows.join(other, pk).where(same).select(pk).union(gone).distinct()
 
 
 def rematched_removed(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str) -> DataFrame:
@@ -78,11 +75,18 @@ def row_differences(src: DataFrame, dst: DataFrame, pk: str) -> DataFrame:
 
 
 def unmatched(src: DataFrame, dst: DataFrame, log: DataFrame, pk: str, mode: str = "base") -> DataFrame:
-    """(pk, unmatch_type) of a window of the key log: inserted and updated keys that aren't as in the source, deleted ones still there."""
-    keys = lambda *ops: log.where(F.col("op").isin(*ops)).select(pk).distinct()
-    late = not_inserted(src, dst, keys("I"), pk).union(not_updated(src, dst, keys("U"), pk, mode)).select(pk, F.lit("not_updated").alias("unmatch_type"))
-    left = not_removed(src, dst, keys("D"), pk).select(pk, F.lit("not_removed").alias("unmatch_type"))
-    return late.union(left).distinct()
+    """(pk, unmatch_type) of a window of the key log: inserted and updated keys that aren't as in the source, deleted ones still there.
+
+    Each side is read and joined once, for all three kinds of changes."""
+    kind = lambda op: F.coalesce(F.max(F.col("op") == op), F.lit(False)).alias(f"_{op}")
+    keys = log.groupBy(pk).agg(kind("I"), kind("U"), kind("D"))
+    other, same = _theirs(src, dst, pk, cast=mode == "cross")
+    rows = keys.join(src.withColumn("_src", F.lit(True)), pk, "left").join(other, pk, "left")
+    there, left = F.col("_src").isNotNull(), F.col("_lost").isNotNull()
+    stale = F.col("_U") & ~same & (F.lit(mode == "base") | left)
+    late = there & ((F.col("_I") & ~left) | stale)
+    types = F.array_compact(F.array(F.when(late, F.lit("not_updated")), F.when(F.col("_D") & left & ~there, F.lit("not_removed"))))
+    return rows.select(pk, F.explode(types).alias("unmatch_type"))
 
 
 def recheck(src: DataFrame, dst: DataFrame, found: DataFrame, pk: str, mode: str = "base") -> DataFrame:
