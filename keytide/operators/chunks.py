@@ -26,10 +26,21 @@ def plan(spark: SparkSession, min_pk: int | None, max_pk: int | None, min_size:
     return spark.range(n).select(i.cast("int").alias("chunk_id"), start.cast("long").alias("start_pk"), end.cast("long").alias("end_pk"))
 
 
+def chunk_of(key: Column, bounds: list[tuple[int, int, int]]) -> Column:
+    """The chunk of a key among sorted (chunk_id, start_pk, end_pk), null outside all: a binary search as one expression."""
+    if len(bounds) == 1:
+        chunk, start, end = bounds[0]
+        return F.when(key.between(start, end), F.lit(chunk))
+    middle = len(bounds) // 2
+    return F.when(key < bounds[middle][1], chunk_of(key, bounds[:middle])).otherwise(chunk_of(key, bounds[middle:]))
+
+
 def row_counts(df: DataFrame, pk: str, chunks: DataFrame) -> DataFrame:
-    """Rows of each chunk. The chunk is found by a range join against the few chunks."""
-    hit = F.col(pk).between(F.col("start_pk"), F.col("end_pk"))
-    return F.broadcast(chunks).join(df.select(pk), hit, "left").groupBy("chunk_id").agg(F.count(pk).cast("long").alias("n"))
+    """Rows of each chunk. Chunks are few (their number is a setting), so they are read to the driver; rows aren't joined."""
+    bounds = sorted((r.chunk_id, r.start_pk, r.end_pk) for r in chunks.collect())
+    rows = df.select(chunk_of(F.col(pk), sorted(bounds, key=lambda b: b[1])).alias("chunk_id")).where("chunk_id is not null")
+    found = rows.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return chunks.select("chunk_id").join(found, "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def validation_ranges(spark: SparkSession, low: int, high: int, batch: int) -> DataFrame:
