@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keytide.llm import linededup
+from keytide.llm import licenses, linededup
 from keytide.llm.decontam import op8_benchmark_windows
 from keytide.llm.embeddings import op7_hyperplane_links
 from keytide.llm.extract import op4_tree_extraction
@@ -16,4 +16,4 @@ from keytide.llm.simhash import op5_simhash_components
 
 QUERIES = {q.__name__: q for q in (op1_crf_quality, op2_line_runs_dedup, op3_kneser_ney_scores, op4_tree_extraction, op5_simhash_components, op6_hash_tree_shards, op7_hyperplane_links, op8_benchmark_windows, op9_license_diagonals, op10_temperature_mix)}
 
-ORACLES: dict[str, str] = {"op2_line_runs_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_runs_dedup": linededup.ORACLE, "op9_license_diagonals": licenses.ORACLE}

@@ -69,7 +69,8 @@ def _h(k: int) -> Column:
 def template_grams(spark: SparkSession) -> tuple[DataFrame, list[str]]:
     """(h, tpl, label, base, t, k, m) of every template's k-grams, and the first words of those of two words."""
     listed = [(label, text, True) for label, text in BASE.items()] + [(label, x, False) for label, texts in TEMPLATES.items() for x in texts]
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(listed)], "tpl int, label string, text string, base boolean").coalesce(1)
+    texts = F.array(*(F.struct(F.lit(i).alias("tpl"), F.lit(label).alias("label"), F.lit(text).alias("text"), F.lit(base).alias("base")) for i, (label, text, base) in enumerate(listed)))
+    rows = spark.range(1, numPartitions=1).select(F.inline(texts))
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("m", F.size("words"))
     grams = _grams(rows, ["tpl", "label", "base", "m"]).withColumn("k", F.least(F.lit(K), "m"))
     grams = grams.withColumn("h", F.when(F.col("k") == 2, _h(2)).otherwise(_h(3))).where("h is not null and pos + k <= m")
@@ -129,3 +130,35 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _oracle() -> str:
+    """The same in DuckDB, with the words themselves in place of hashes."""
+    words = lambda text: rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    listed = [(label, text, "true") for label, text in BASE.items()] + [(label, x, "false") for label, texts in TEMPLATES.items() for x in texts]
+    values = ", ".join(f"({i}, '{label}', {base}, '{text}')" for i, (label, text, base) in enumerate(listed))
+    return f"""
+WITH tpl AS (SELECT *, {words("txt")} AS w FROM (VALUES {values}) AS v(tpl, label, base, txt)),
+tk AS (SELECT *, len(w) AS m, least({K}, len(w)) AS k FROM tpl),
+ts AS (SELECT *, unnest(range(0, m - k + 1)) AS t FROM tk),
+tg AS (SELECT tpl, label, base, m, k, t, array_to_string(w[t + 1 : t + k], ' ') AS g FROM ts),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(0, len(w))) AS pos FROM d),
+dg AS (SELECT rid, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS g FROM p, (SELECT DISTINCT k FROM tk) WHERE pos + k <= len(w)),
+voted AS (SELECT rid, tpl, label, base, m, k, pos - t AS diag, count(*) AS votes, min(pos) AS from_pos, max(pos + k) AS to_pos
+          FROM dg JOIN tg USING (k, g) GROUP BY rid, tpl, label, base, m, k, pos - t),
+fresh AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER o > {NEIGHBOUR}, true) THEN 1 ELSE 0 END AS f FROM voted WINDOW o AS (PARTITION BY rid, tpl ORDER BY diag)),
+runs AS (SELECT *, sum(f) OVER (PARTITION BY rid, tpl ORDER BY diag) AS run FROM fresh),
+spans AS (SELECT rid, label, base, m, k, least(1.0, sum(votes) / CAST(m - k + 1 AS DOUBLE)) AS share, min(from_pos) AS a, max(to_pos) AS b, bool_or(votes = m - k + 1) AS whole
+          FROM runs GROUP BY rid, tpl, label, base, m, k, run),
+good AS (SELECT * FROM spans WHERE whole OR (NOT base AND share >= {COVER} AND b - a <= 1.5 * m))
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base,
+       CAST(min(a) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(a) FILTER (WHERE base) AS BIGINT) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE label IS NOT NULL), '') AS labels,
+       coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN good USING (rid) GROUP BY rid, d.doc_id
+"""
+
+
+ORACLE = _oracle()
