@@ -383,6 +383,14 @@ def log_lag_bytes(s, d):
     return changelog.segment_inventory(segments, "log.000005", 100)
 
 
+@query(f"WITH {SEGMENTS}, n AS (SELECT name, size, CAST(split_part(name, '.', 2) AS BIGINT) AS number FROM seg) SELECT name, size, number FROM n WHERE number >= 5 ORDER BY number LIMIT 4", fixture=False)
+def log_segments_to_read(s, d):
+    """The next round's segments: a round has a fixed number of them."""
+    name = changelog.segment_name("log", F.expr("event_id div 100"))
+    segments = table(s, d, "events").groupBy(name.alias("name")).agg(F.sum(F.length("props") + 40).alias("size"))
+    return changelog.segments_to_read(segments, "log.000005", 4)
+
+
 @query("SELECT min(ts) AS first_ts, max(ts) AS last_ts, max(ts) - min(ts) AS seconds FROM log WHERE ts > 1")
 def event_lag(s, d):
     return monitor.event_lag(fixtures.change_log(s, d))

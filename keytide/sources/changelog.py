@@ -4,7 +4,7 @@ An update that changes its key is logged as D of the old key and I of the new on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "op string, pk bigint, ts bigint"
@@ -37,3 +37,20 @@ def segment_inventory(segments: DataFrame, current: str, position: int) -> DataF
     """Bytes of log not read yet: segments(name, size) from the current one on, less the position in it."""
     left = F.coalesce(F.sum(F.when(F.col("name") >= current, F.col("size"))), F.lit(0)) - position
     return segments.agg(F.greatest(F.lit(0), left).cast("long").alias("lag_bytes"))
+
+
+def segment_number(name: Column) -> Column:
+    """The number behind the last dot of a segment's name."""
+    return F.element_at(F.split(name, r"\."), -1).try_cast("long")
+
+
+def segment_name(base: str, number: Column, digits: int = 6) -> Column:
+    text = number.cast("string")
+    return F.concat(F.lit(f"{base}."), F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0")))
+
+
+def segments_to_read(segments: DataFrame, current: str, most: int) -> DataFrame:
+    """The segments of the next round: from the current one on, in order of their numbers, so many at most."""
+    first = int(current.rpartition(".")[2])
+    rows = segments.withColumn("number", segment_number(F.col("name"))).where(F.col("number") >= first)
+    return rows.orderBy("number").limit(most)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keytide.catalog import TRACE_CONFIG
+from keytide.functions.logfmt import LogfmtFormatter
 from keytide.functions.tuning import Setting, Tuner, in_window
 from keytide.model import ChunkStatus, Config, Stage
 from keytide.operators import chunks
@@ -74,3 +77,10 @@ def test_stages_and_settings():
     with pytest.raises(ValueError, match="nonsense"):
         Config.of({"nonsense": 1})
     assert Config.of({"MIN_CHUNK_SIZE": 5}).min_chunk_size == 5
+
+
+def test_log_lines():
+    record = logging.LogRecord("copy", logging.WARNING, "", 0, 'said "%s"', ("no",), None)
+    record.fields = {"chunk": 3, "note": ""}
+    line = LogfmtFormatter().format(record)
+    assert line.partition(" ")[2] == 'level=warning logger=copy msg="said \\"no\\"" chunk=3 note=""'
