@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,34 +39,44 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_kt_source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), "_kt_key": F.xxhash64(F.lit(SEED), "doc_id", "text")})
 
 
+def _measures(totals: DataFrame):
+    """A function of exponents: for each, sums over the sources with tokens that tell entropy and repeats; and all tokens.
+
+    Up to MANY_SOURCES totals come to the driver, once; more are summed by Spark for each step."""
+    got = [r.tokens for r in totals.where("tokens > 0").select("tokens").limit(MANY_SOURCES + 1).collect()]
+    if len(got) <= MANY_SOURCES:
+        share = np.array(sorted(got), float) / max(1, sum(got))
+
+        def near(tries: list[float]) -> list[tuple]:
+            return [(float((w := share**a).sum()), float((w * a * np.log(share)).sum()), float((x := share ** (a - 1)).max()), float(x.min())) for a in tries]
+
+        return near, sum(got)
+    every = totals.agg(F.sum("tokens")).first()[0]
+    p = F.col("tokens") / F.lit(every)
+
+    def far(tries: list[float]) -> list[tuple]:
+        sums = [x for a in tries for x in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * a * F.log(p)), F.max(F.pow(p, F.lit(a - 1))), F.min(F.pow(p, F.lit(a - 1))))]
+        row = totals.where("tokens > 0").agg(*(x.alias(f"x{i}") for i, x in enumerate(sums))).first()
+        return [tuple(row[4 * i : 4 * i + 4]) for i in range(len(tries))]
+
+    return far, every
+
+
 def exponent(totals: DataFrame, repeats: float, entropy: float | None, budget: float | None) -> float:
-    """The exponent for totals(tokens), one row for each source with tokens. Each step evaluates WAYS exponents at once."""
+    """The exponent for totals(tokens), one row for each source. Each step evaluates WAYS exponents at once."""
     low, high = 0.0, 1.0
-    every = totals.agg(F.sum("tokens")).first()[0]
+    measures, every = _measures(totals)
     if not every:
         return 1.0
-    share = F.col("tokens") / F.lit(every)
-    base = totals.where("tokens > 0")
     for _ in range(STEPS):
         tries = [low + (high - low) * i / WAYS for i in range(WAYS + 1)]
-        got = base.agg(
-            *(
-                x
-                for i, a in enumerate(tries)
-                for x in (
-                    F.sum(F.pow(share, F.lit(a))).alias(f"z{i}"),
-                    F.sum(F.pow(share, F.lit(a)) * a * F.log(share)).alias(f"l{i}"),
-                    F.max(F.pow(share, F.lit(a - 1))).alias(f"most{i}"),
-                    F.min(F.pow(share, F.lit(a - 1))).alias(f"least{i}"),
-                )
-            )
-        ).first()
+        got = measures(tries)
 
         def fits(i: int) -> bool:
+            z, logs, most, least = got[i]  # noqa: B023
             if entropy is not None:
-                return math.log(got[f"z{i}"]) - got[f"l{i}"] / got[f"z{i}"] <= entropy + 1e-12
-            scale = 1 / got[f"least{i}"] if budget is None else budget / every / got[f"z{i}"]
-            return got[f"most{i}"] * scale <= repeats + 1e-12
+                return math.log(z) - logs / z <= entropy + 1e-12
+            return most * (1 / least if budget is None else budget / every / z) <= repeats + 1e-12
 
         first = next((i for i in range(WAYS + 1) if fits(i)), WAYS)
         if first == 0:
@@ -74,14 +85,16 @@ def exponent(totals: DataFrame, repeats: float, entropy: float | None, budget: f
     return high
 
 
-def plan(rows: DataFrame, repeats: float, entropy: float | None, budget: float | None) -> DataFrame:
-    """For rows(_kt_source, _kt_key, tokens): (_kt_source, _kt_weight, _kt_passes, _kt_blocks, _kt_cut_rank, _kt_cut_key), a row for each source.
+def plan(rows: DataFrame, repeats: float, entropy: float | None, budget: float | None) -> tuple[DataFrame, bool]:
+    """For rows(_kt_source, _kt_key, tokens): (_kt_source, _kt_weight, _kt_passes, _kt_blocks, _kt_cut_rank, _kt_cut_key), a row for each source; and
+    whether these are few enough to be broadcast.
 
     Passes are whole; in one more, rows come whose block's rank is below the cut's, or equal and their own rank at most the cut's.
     """
     totals = saved(rows.groupBy("_kt_source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
     a = exponent(totals, repeats, entropy, budget)
-    every = totals.agg(F.sum("tokens")).first()[0] or 1
+    sums = totals.agg(F.sum("tokens"), F.count("*")).first()
+    every, few = sums[0] or 1, sums[1] <= MANY_SOURCES
     shares = totals.withColumn("p", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(every), F.lit(a))))
     norm = shares.agg(F.sum("p").alias("z"), F.max(F.col("tokens") / F.col("p")).alias("most")).first()
     shares = shares.withColumn("_kt_weight", F.coalesce(F.col("p") / F.lit(norm["z"] or 1.0), F.lit(0.0)))
@@ -92,25 +105,21 @@ def plan(rows: DataFrame, repeats: float, entropy: float | None, budget: float |
         "_kt_source", "_kt_weight", whole.alias("_kt_passes"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("_kt_blocks"), (F.greatest(F.lit(0.0), F.col("times") - whole) * F.col("tokens")).alias("rest")
     )
     shares = saved(shares, "mix-plan")
-    dealt = with_plan(rows, shares).withColumns({"_kt_rank": block_rank(F.col("_kt_passes")), "_kt_own": own_rank(F.col("_kt_passes"))}).where("rest > 0")
+    dealt = with_plan(rows, shares, few).withColumns({"_kt_rank": block_rank(F.col("_kt_passes")), "_kt_own": own_rank(F.col("_kt_passes"))}).where("rest > 0")
     blocks = dealt.groupBy("_kt_source", "rest", "_kt_rank").agg(F.sum("tokens").alias("tokens"))
     through = Window.partitionBy("_kt_source").orderBy("_kt_rank")
     blocks = blocks.withColumn("through", F.sum("tokens").over(through)).withColumn("before", F.col("through") - F.col("tokens"))
     cut = blocks.where("before < rest and through >= rest").select("_kt_source", "_kt_rank", "before")
-    at_cut = dealt.join(hinted(cut, shares), ["_kt_source", "_kt_rank"])
+    at_cut = dealt.join(F.broadcast(cut) if few else cut, ["_kt_source", "_kt_rank"])
     own = Window.partitionBy("_kt_source").orderBy("_kt_own")
     at_cut = at_cut.withColumn("upto", F.sum("tokens").over(own)).where(F.col("before") + F.col("upto") - F.col("tokens") / 2 <= F.col("rest"))
     keys = at_cut.groupBy("_kt_source").agg(F.max("_kt_own").alias("_kt_cut_key"))
     ends = cut.select("_kt_source", F.col("_kt_rank").alias("_kt_cut_rank")).join(keys, "_kt_source", "left")
-    return saved(shares.join(ends, "_kt_source", "left").drop("rest"), "mix-plan")
-
-
-def hinted(small: DataFrame, shares: DataFrame) -> DataFrame:
-    return F.broadcast(small) if shares.count() <= MANY_SOURCES else small
+    return saved(shares.join(ends, "_kt_source", "left").drop("rest"), "mix-plan"), few
 
 
-def with_plan(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    rows = rows.join(hinted(shares, shares), "_kt_source")
+def with_plan(rows: DataFrame, shares: DataFrame, few: bool) -> DataFrame:
+    rows = rows.join(F.broadcast(shares) if few else shares, "_kt_source")
     return rows.withColumn("_kt_block", F.pmod(F.col("_kt_key"), F.col("_kt_blocks")))
 
 
@@ -126,8 +135,8 @@ def mixed(docs: DataFrame, repeats: float = REPEATS, entropy: float | None = Non
     """A row of docs for each time it comes, with _kt_weight (of its source), _kt_epoch (the pass), _kt_rank (its block's place in the pass)
     and _kt_own (its place in the block)."""
     rows = saved(_keyed(docs).select("_kt_source", "_kt_key", n_tokens(F.col("text")).alias("tokens")), "mix-rows")
-    shares = plan(rows, repeats, entropy, budget)
-    rows = with_plan(_keyed(docs), shares.select("_kt_source", "_kt_weight", "_kt_passes", "_kt_blocks", "_kt_cut_rank", "_kt_cut_key"))
+    shares, few = plan(rows, repeats, entropy, budget)
+    rows = with_plan(_keyed(docs), shares.select("_kt_source", "_kt_weight", "_kt_passes", "_kt_blocks", "_kt_cut_rank", "_kt_cut_key"), few)
     last, own = block_rank(F.col("_kt_passes")), own_rank(F.col("_kt_passes"))
     more = F.coalesce((last < F.col("_kt_cut_rank")) | ((last == F.col("_kt_cut_rank")) & (own <= F.col("_kt_cut_key"))), F.lit(False))
     times = F.col("_kt_passes") + more.cast("long")

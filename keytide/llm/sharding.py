@@ -42,33 +42,24 @@ class Tree:
         return out
 
 
-def _winner(key: Column, level: int, children: dict[int, float]) -> Column:
-    """The child with the smallest draw; one child needs none."""
-    if len(children) == 1:
-        return F.lit(next(iter(children)))
+def _winner(key: Column, level: int, children: Column) -> Column:
+    """The child with the smallest draw of an array of (name, weight)."""
 
-    def draw(child: int, weight: float) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(level), F.lit(child), key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((-F.log(u) / F.lit(weight)).alias("d"), F.lit(child).alias("c"))
+    def draw(child: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(level), child["name"], key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct((-F.log(u) / child["weight"]).alias("d"), child["name"].alias("c"))
 
-    return F.least(*(draw(c, w) for c, w in sorted(children.items())))["c"]
+    return F.array_min(F.transform(children, draw))["c"]
 
 
 def assign(df: DataFrame, tree: Tree, key: Column, out: str = "shard") -> DataFrame:
-    """df with the shard of each row."""
-
-    def choose(chosen: Column | None, level: int) -> Column:
-        if level == 0:
-            return _winner(key, 0, tree.children(0, None))
-        expr = None
-        for p in sorted({leaf[level - 1] for leaf in tree.leaves if leaf[3] > 0}):
-            branch = _winner(key, level, tree.children(level, p))
-            expr = F.when(chosen == p, branch) if expr is None else expr.when(chosen == p, branch)
-        return expr
-
+    """df with the shard of each row. The tree is a constant of the plan: for each level a map from nodes to children."""
     names = ["_region", "_rack", out]
     for level, name in enumerate(names):
-        df = df.withColumn(name, choose(F.col(names[level - 1]) if level else None, level).cast("int"))
+        parents = [None] if level == 0 else sorted({leaf[level - 1] for leaf in tree.leaves if leaf[3] > 0})
+        listed = [F.array(*(F.struct(F.lit(c).alias("name"), F.lit(w).alias("weight")) for c, w in sorted(tree.children(level, p).items()))) for p in parents]
+        children = listed[0] if level == 0 else F.create_map(*(x for p, c in zip(parents, listed, strict=True) for x in (F.lit(p), c)))[F.col(names[level - 1])]
+        df = df.withColumn(name, _winner(key, level, children))
     return df.drop("_region", "_rack")
 
 

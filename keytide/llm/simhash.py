@@ -89,7 +89,8 @@ def links(fps: DataFrame) -> DataFrame:
     seg_a, seg_b = F.shiftright(fp, 32).cast("int"), F.shiftright(F.shiftleft(fp, 32), 32).cast("int")
     entry = lambda t, k: F.struct(F.lit(t).alias("t"), k.alias("k"))
     shelf = fps.select("fp", F.inline(F.array(entry(0, seg_a), entry(1, seg_b))))
-    probes = fps.select("fp", F.inline(F.array(*(entry(0, seg_a.bitwiseXOR(F.lit(m))) for m in high), entry(1, seg_b))))
+    ball = F.transform(F.lit(high), lambda m: entry(0, seg_a.bitwiseXOR(m)))
+    probes = fps.select("fp", F.inline(F.concat(ball, F.array(entry(1, seg_b)))))
     full = saved(shelf.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("t", "k"), "simhash-hot")
     shelf, mild = (x.join(full, ["t", "k"], "left_anti") for x in (shelf, probes))
     near = (
@@ -99,7 +100,7 @@ def links(fps: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     hot = probes.join(full, ["t", "k"], "left_semi").select("fp").distinct()
-    mids = hot.select("fp", F.explode(F.array(fp, *(fp.bitwiseXOR(F.lit(m)) for m in one_bit))).alias("mid"))
+    mids = hot.select("fp", F.explode(F.transform(F.lit([0, *one_bit]), lambda m: fp.bitwiseXOR(m))).alias("mid"))
     low = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
     stars = mids.join(low, "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
     return near.union(stars).distinct()

@@ -522,7 +522,9 @@ def totals(spark, rows):
     return spark.createDataFrame([(x,) for x in rows], "tokens bigint")
 
 
-def test_exponent(spark):
+@pytest.mark.parametrize("many", [50_000, 1])
+def test_exponent(spark, monkeypatch, many):
+    monkeypatch.setattr(mixing, "MANY_SOURCES", many)
     t = [1000, 100, 10]
     a = mixing.exponent(totals(spark, t), 2.0, None, None)
     assert 100 ** (1 - a) == pytest.approx(2, rel=1e-4)
@@ -534,8 +536,9 @@ def test_exponent(spark):
     assert mixing.exponent(totals(spark, [5, 5]), 1.0, None, None) == 0 and mixing.exponent(totals(spark, [0]), 1.0, None, None) == 1
 
 
-@pytest.mark.parametrize("how", [{"budget": 8000.0, "repeats": 3.0}, {"entropy": 1.2}, {"repeats": 5.0}])
-def test_mix_by_budget_entropy_and_repeats(sources, monkeypatch, how):
+@pytest.mark.parametrize(("how", "many"), [({"budget": 8000.0, "repeats": 3.0}, 50_000), ({"entropy": 1.2}, 50_000), ({"repeats": 5.0}, 50_000), ({"repeats": 5.0}, 1)])
+def test_mix_by_budget_entropy_and_repeats(sources, monkeypatch, how, many):
+    monkeypatch.setattr(mixing, "MANY_SOURCES", many)
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
     rows = mixing.mixed(sources, **how).collect()
     tokens = collections.Counter()
@@ -561,3 +564,11 @@ def test_mix_edge_cases(messy, none):
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest()  # what a document without lines left has
+
+
+def test_licenses_match_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = catalog.QUERIES["op9_license_diagonals"](spark, sf)
+    want = con.sql(f"select {', '.join(got.columns)} from ({licenses.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
