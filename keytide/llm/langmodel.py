@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from keytide.llm import textvec as tv
 from keytide.llm.quality import fold
-from keytide.llm.shared import input_bytes, scratch, ship, table
+from keytide.llm.shared import scratch, ship, table
 
 #: The hash that stands for the boundary of a text, as a word before its first and after its last.
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text whose bigrams are summed before they are sent: bounds memory, at about 30 bytes a byte.
 SUMMED = 16 << 20
-#: Bytes of input for each bucket; and at least so many buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 16
+#: Bytes of text for each bucket; and at least so many buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 16
 #: Bytes of text scored at once.
 SCORED = 4 << 20
 
@@ -371,7 +371,7 @@ def train(docs: DataFrame, learn_from: Column) -> Model:
     """Counts the rows of docs for which learn_from holds; two shuffles, of packed sums."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(LEAST_BUCKETS, -(-input_bytes(docs) // BUCKET_BYTES))
+    buckets = int(max(LEAST_BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)))
     word_buckets = max(LEAST_BUCKETS // 2, buckets // 4)
     folder = scratch(spark, "lm")
     fs, path = pafs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{os.path.abspath(folder)}")
@@ -379,8 +379,8 @@ def train(docs: DataFrame, learn_from: Column) -> Model:
     fs.create_dir(path, recursive=True)
     packed = "bucket int, blob binary"
     own = docs.where(F.coalesce(learn_from, F.lit(False))).select("text").mapInArrow(_count(buckets), packed)
-    words = own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(folder, word_buckets), packed)
-    counts = words.repartition(word_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_words(folder), "counts array<bigint>")
+    words = own.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(folder, word_buckets), packed)
+    counts = words.repartitionById(word_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_merge_words(folder), "counts array<bigint>")
     n = counts.agg(*(F.coalesce(F.sum(F.get("counts", F.lit(i))), F.lit(0)).alias(f"n{i}") for i in range(11))).first()
     return Model(folder, buckets, word_buckets, tuple(n[:4]), tuple(n[4:8]), n[8], n[9], n[10])
 
