@@ -15,7 +15,7 @@ smallest; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,12 +106,10 @@ def links(fps: DataFrame) -> DataFrame:
     return near.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fp, root, component_id) of every row; component_id is the smallest doc_id that links reach, root a
-    fingerprint that stands for the component."""
-    fps = saved(fingerprints(docs), "simhash")
-    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = components(links(reps.select("fp")), "simhash-links").withColumnRenamed("id", "fp")
+def labelled(fps: DataFrame, links_of: Callable[[DataFrame], DataFrame], label: str = "simhash") -> DataFrame:
+    """(doc_id, same, fp, root, component_id) of every row of fps(doc_id, same, fp), by the links of its distinct values."""
+    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{label}-distinct")
+    roots = components(links_of(reps.select("fp")), f"{label}-links").withColumnRenamed("id", "fp")
     lows = roots.join(reps, "fp").groupBy("root").agg(F.min("low").alias("component"))
     linked = roots.join(lows, "root").select("fp", "root", "component")
     classes = reps.join(linked, "fp", "left").select(
@@ -120,10 +118,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "same", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, a null one only if there is no other."""
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, fp, root, component_id) of every row; component_id is the smallest doc_id that links reach, root a
+    fingerprint that stands for the component."""
+    return labelled(saved(fingerprints(docs), "simhash"), links)
+
+
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """One row of docs for each component of near(docs): that of the smallest doc_id, a null one only if there is no other."""
     key = {"_kt_null": F.col("doc_id").isNull(), "_kt_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
-    found = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(*(c.alias(k) for k, c in key.items()), F.col("same").alias("_kt_same"))).alias("k"))
+    found = near(docs).groupBy("root").agg(F.min(F.struct(*(c.alias(k) for k, c in key.items()), F.col("same").alias("_kt_same"))).alias("k"))
     rows = docs.withColumns(key | {"_kt_same": F.xxhash64("text")})
     key = [*key, "_kt_same"]
     return rows.join(found.select("k.*"), key, "left_semi").dropDuplicates(key).select(docs.columns)
