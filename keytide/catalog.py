@@ -268,15 +268,9 @@ def feedback_sets(s, d):
 
 @query()
 def window_loader_plan(s, d):
-    """The first windows of the loader, with the keys of each."""
-    log, loader, rows = fixtures.key_log(s, d), keylog.WindowLoader(most=200, width=3600 * 24), []
-    for i in range(5):
-        start = loader.next(log)
-        if start is None:
-            break
-        u, r = loader.load(log)
-        rows.append((i, *start, u.count(), r.count()))
-    return s.createDataFrame(rows, "window int, start_ts bigint, end_ts bigint, n_updated bigint, n_removed bigint")
+    """All windows of the loader, with the numbers of keys of each."""
+    log = fixtures.key_log(s, d)
+    return keylog.window_sizes(log, keylog.windows(log, most=200, width=3600 * 24))
 
 
 @query(f"SELECT pk FROM ({KEYS} IN ('I', 'U') EXCEPT {KEYS} = 'D') ORDER BY pk LIMIT 50")

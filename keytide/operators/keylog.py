@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,3 +105,52 @@ class WindowLoader:
         part = window(log, *found)
         self.mark = part.agg(F.max("ts")).first()[0]
         return updated_keys(part), removed_keys(part)
+
+
+def windows(log: DataFrame, most: int, width: int) -> list[tuple[int, int]]:
+    """All windows of a WindowLoader(most, width) over log, until its mark is the latest ts; later ones would only read that second
+    again. They follow from the numbers of entries by op and second, of which the driver holds those of each second with entries.
+
+    Raises ValueError where the loader would stay before the end as no width is small enough."""
+    got = log.where("ts is not null").groupBy("ts", "op").agg(F.count("*").alias("n")).toArrow()
+    if not got.num_rows:
+        return []
+    seconds, at = np.unique(got["ts"].to_numpy(), return_inverse=True)
+    ops = np.unique(np.array(got["op"].to_pylist(), dtype=str), return_inverse=True)[1]
+    before = np.zeros((ops.max() + 1, len(seconds) + 1), np.int64)  # entries of each op before each second
+    np.add.at(before, (ops, at + 1), got["n"].to_numpy())
+    before = before.cumsum(axis=1)
+    out: list[tuple[int, int]] = []
+    start, high, grown, first = int(seconds[0]), int(seconds[-1]), False, True
+    while start and (first or start < high):
+        lo, hi = np.searchsorted(seconds, start), np.searchsorted(seconds, start + width, "right")
+        largest, last = int((before[:, hi] - before[:, lo]).max()), int(seconds[hi - 1])
+        if largest > most and not grown:
+            if not (width := width // 2):
+                raise ValueError(f"over {most} entries of one operation from second {start} on: no window is small enough")
+        elif not first and last == start:
+            width, grown = width * 2, True
+        else:
+            out.append((start, start + width))
+            start, grown, first = last, False, False
+    return out
+
+
+def window_sizes(log: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    """(window, start_ts, end_ts, n_updated, n_removed) of all windows(log): the numbers of keys that the loader gives for each.
+
+    A window holds the entries from its start to the next one's, both inclusive, so each entry finds its one or two windows by itself."""
+    starts = np.array([start for start, _ in found], np.int64)
+
+    @F.arrow_udf("array<int>")
+    def of(ts: pa.Array) -> pa.Array:
+        last = np.searchsorted(starts, ts.to_numpy(zero_copy_only=False), "right") - 1
+        return pa.array([[i - 1, i] if i and starts[i] == t else [i] for i, t in zip(last.tolist(), ts.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    plan = log.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(found)], "window int, start_ts bigint, end_ts bigint")
+    if not found:
+        return plan.selectExpr("*", "0L as n_updated", "0L as n_removed")
+    written, removed = F.max(F.col("op").isin("I", "U")), F.max(F.col("op") == "D")
+    keys = log.where("ts is not null").select("op", "pk", F.explode(of("ts")).alias("window")).groupBy("window", "pk").agg(written.alias("w"), removed.alias("r"))
+    sizes = keys.groupBy("window").agg(F.count_if(F.col("w") & (~F.col("r") | F.col("pk").isNull())).alias("n_updated"), F.count_if("r").alias("n_removed"))
+    return plan.join(sizes, "window").select("window", "start_ts", "end_ts", "n_updated", "n_removed")
