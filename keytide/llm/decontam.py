@@ -11,7 +11,8 @@ Items go to the workers in indexes of at most ITEM_BYTES of text; more items mea
 sent is bounded whatever the benchmark's size. Documents are neither shuffled nor collected.
 
 Words are as for the other operators ([^\\x20\\x09-\\x0D]+, A-Z lower-cased). Items of fewer than five words are one gram of all their
-words. Edge cases: null, empty and word-less texts and items match nothing; repeated items are all reported; repeated rows are each reported; no
+words. Edge cases: null, empty and word-less texts and items match nothing; items without an item_id are left out, by `hits` and `clean` alike (the
+pipeline gives all items an id first, so that none is left out there); repeated items are all reported; repeated rows are each reported; no
 items: nothing is found; extra columns are kept by `clean` and dropped by `hits`.
 """
 

@@ -61,3 +61,24 @@ def test_near_copies_of_the_fixture_and_edge_cases(spark, sf, messy, none):
         got = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
         assert got == heads([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
     assert simhash.keep_one(none, nearcopies.near_copies).count() == 0
+
+
+def written(folder, docs, labels, benchmark):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def labels_of(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id bigint, quality int, toxic int")
+
+
+def items_of(spark, rows=()):
+    return spark.createDataFrame(list(rows), "item_id bigint, text string")
+
+
+def test_items_without_an_id_count(spark, tmp_path):
+    item = "which of these nine planets is the nearest one to the sun at all times of year"
+    docs = spark.createDataFrame([(1, f"before {item} after", "en", "a", 1), (2, "something else", "en", "a", 1)], COLUMNS)
+    folder = written(tmp_path, docs, labels_of(spark), items_of(spark, [(None, item), (7, None)]))
+    assert [r.doc_id for r in corpus_pipeline.stage_decontaminate(spark, docs, folder).collect()] == [2]
