@@ -7,7 +7,7 @@ gives each line's marginal, and the document's score is their mean weighted by t
 The fit takes at most TRAIN_DOCS labelled documents (those with the lowest hash of doc_id) and of each at most TRAIN_LINES
 consecutive lines; scoring covers every line. Labels, lang, source and doc_id are no features. Edge cases: a null or empty
 text is one empty line and gets a score too; documents with several labels take the lowest, null labels are ignored; without any label
-every score is 0.5; repeated rows get equal scores; an empty table gives an empty result; other columns are kept by `scored`.
+every score is 0.5 and `keep_good` keeps all rows; repeated rows get equal scores; an empty table gives an empty result; other columns are kept by `scored`.
 """
 
 from __future__ import annotations
@@ -109,6 +109,7 @@ class Field:
         self.mean, self.std = mean.astype(np.float32), std.astype(np.float32)
         self.weights = np.zeros(3 * len(mean) + 3)
         self.turns = np.zeros((2, 2))
+        self.fitted = False
 
     def scores(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
         return with_neighbours((feats - self.mean) / self.std, first)
@@ -162,6 +163,7 @@ class Field:
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
             self.weights, self.turns = theta[:-4], theta[-4:].reshape(2, 2)
+        self.fitted = True
         return self
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,8 +230,11 @@ def scored(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; labels of the held-out quarter aren't learnt from."""
+    """The rows of docs whose score reaches the threshold; labels of the held-out quarter aren't learnt from. All rows if
+    there is no labelled row to learn from, as nothing then tells good from bad."""
     model = train(docs, labels, fold("doc_id", 4) != 2)
+    if not model.fitted:
+        return docs
     return scored(docs, model).where(F.col("_kt_quality.score") >= threshold).select(docs.columns)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import pytest
 from test_ops import roots, tok
 
 import corpus_pipeline
-from keytide.llm import nearcopies, simhash
+from keytide.llm import nearcopies, quality, simhash
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -82,3 +83,9 @@ def test_items_without_an_id_count(spark, tmp_path):
     docs = spark.createDataFrame([(1, f"before {item} after", "en", "a", 1), (2, "something else", "en", "a", 1)], COLUMNS)
     folder = written(tmp_path, docs, labels_of(spark), items_of(spark, [(None, item), (7, None)]))
     assert [r.doc_id for r in corpus_pipeline.stage_decontaminate(spark, docs, folder).collect()] == [2]
+
+
+def test_without_usable_labels_all_documents_stay(spark, messy):
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for rows in ([], [(held_out, 1, 0)], [(1, None, 0)], [(999, 1, 0)]):
+        assert quality.keep_good(messy, labels_of(spark, rows)).count() == messy.count()
