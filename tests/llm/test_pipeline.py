@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import collections
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
-from test_ops import roots, tok
+from pyspark.sql import functions as F
+from test_ops import check_hits, roots, tok
 
 import corpus_pipeline
-from keytide.llm import nearcopies, quality, simhash
+from keytide.llm import mixing, nearcopies, quality, simhash
+from keytide.llm import textvec as tv
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -78,6 +82,66 @@ def items_of(spark, rows=()):
     return spark.createDataFrame(list(rows), "item_id bigint, text string")
 
 
+def order(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def chained(spark, folder):
+    """Every stage on the rows that the stage before it gave, each compared with brute force; the last stage's rows."""
+    tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    docs = tables["documents"]
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    assert stages == [corpus_pipeline.stage_quality, corpus_pipeline.stage_simhash, corpus_pipeline.stage_decontaminate, corpus_pipeline.stage_mix, corpus_pipeline.stage_shard]
+    took = []
+    for stage in stages:
+        rows = docs.collect()
+        out = stage(spark, docs, folder)
+        out = spark.createDataFrame(out.collect(), out.schema)
+        assert stage is corpus_pipeline.stage_shard or out.columns == docs.columns
+        took.append((rows, out.collect()))
+        docs = out
+    # quality: scores of the model outside Spark
+    before, after = took[0]
+    model = quality.train(tables["documents"], tables["labels"], quality.fold("doc_id", 4) != 2)
+    score = lambda t: model.documents(*next(tv.chunks(pa.array([t], pa.string())))[2:])[0][0]
+    usable = any(x.quality is not None and x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 != 2 and any(r.doc_id == x.doc_id for r in before) for x in tables["labels"].collect())
+    assert order(after) == order(r for r in before if not usable or score(r.text) >= quality.THRESHOLD)
+    # near copies
+    before, after = took[1]
+    assert sorted((r.doc_id for r in after), key=lambda x: (x is None, x)) == heads([(r.doc_id, r.text) for r in before]) and set(map(tuple, after)) <= set(map(tuple, before))
+    # benchmark: every item under an id of its own, and every document too
+    before, after = took[2]
+    items = items_of(spark, [(i, r.text) for i, r in enumerate(tables["benchmark"].collect())])
+    held = {i for i, _, _ in check_hits(spark.createDataFrame([(i, r.text) for i, r in enumerate(before)], "doc_id bigint, text string"), items)}
+    assert order(after) == order(r for i, r in enumerate(before) if i not in held)
+    # mixing: each row once at least, and no more than the limit allows
+    before, after = (collections.Counter(map(tuple, x)) for x in took[3])
+    assert set(before) == set(after) and all(before[r] <= after[r] <= mixing.REPEATS * before[r] for r in before)
+    # shards: sizes and check sums of every row, slots without gaps
+    before, after = took[4]
+    data = lambda r: (r.text or "").encode()
+    assert order((r.doc_id, r.size, r.text_crc32) for r in after) == order((r.doc_id, len(data(r)) + 16, zlib.crc32(data(r))) for r in before)
+    slots = collections.defaultdict(list)
+    for r in after:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    return took
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(("the", "river", "walks", "under", "a", "bridge", "of", "stone", f"name{r.randrange(400)}")) for _ in range(n)) + "."
+    item = "which of these nine planets is the nearest one to the sun at all times of year"
+    texts = [prose(60) for _ in range(40)] + ["@@ ## 1 2 3 $$ %% ^^ " * 12 + str(i) for i in range(12)]
+    texts += [texts[0], texts[1] + " more", f"{prose(20)} {item} {prose(20)}"]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 3 == 0], len(t)) for i, t in enumerate(texts)], COLUMNS)
+    labels = labels_of(spark, [(i, int(i < 40), 0) for i in range(52)])
+    folder = written(tmp_path, docs, labels, items_of(spark, [(1, None), (None, item), (None, item)]))
+    took = chained(spark, folder)
+    assert [len(a) > len(b) for a, b in took[:3]] == [True] * 3 and 54 not in {x.doc_id for x in took[2][1]}
+    assert order(corpus_pipeline.run(spark, folder).collect()) == order(took[-1][1])
+
+
 def test_items_without_an_id_count(spark, tmp_path):
     item = "which of these nine planets is the nearest one to the sun at all times of year"
     docs = spark.createDataFrame([(1, f"before {item} after", "en", "a", 1), (2, "something else", "en", "a", 1)], COLUMNS)
@@ -89,3 +153,12 @@ def test_without_usable_labels_all_documents_stay(spark, messy):
     held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
     for rows in ([], [(held_out, 1, 0)], [(1, None, 0)], [(999, 1, 0)]):
         assert quality.keep_good(messy, labels_of(spark, rows)).count() == messy.count()
+
+
+def test_pipeline_on_messy_and_empty_tables(spark, tmp_path, messy, none):
+    folder = written(tmp_path / "messy", messy, labels_of(spark), items_of(spark, [(None, None), (None, "no id at all, but words"), (3, "")]))
+    assert len(chained(spark, folder)[-1][1]) > 0
+    nulls = messy.select(*(F.lit(None).cast(t).alias(c) for c, t in messy.dtypes))
+    for name, docs in (("none", none), ("nulls", nulls)):
+        out = corpus_pipeline.run(spark, written(tmp_path / name, docs, labels_of(spark), items_of(spark)))
+        assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.isEmpty() == (name == "none")
