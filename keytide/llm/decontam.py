@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows.
 
 Each benchmark item is compared with the windows of a document that have as many words as it (the whole document, if that is
-shorter). A window's fingerprint is the SimHash of its word 5-grams, repeats counting. Fingerprints of items are indexed in 8
-blocks of 8 bits, each with its Hamming ball of radius 2: as 8 * 3 > 23, every item fingerprint within 23 bits of a window's is found.
+shorter). A window's fingerprint is the SimHash of its word 5-grams, repeats counting. It is compared with those of all items of
+its length, in 8 blocks of 8 bits, each with its Hamming ball of radius 2: as 8 * 3 > 23, every item fingerprint within 23 bits is found. That
+is a dense scan and no index; what prunes is the lookup of shared 5-grams before it.
 At the similarity sought the distance is 10 bits on average with a standard deviation of 3. Found pairs count if their exact
 weighted similarity (sum of the smaller over sum of the larger counts of 5-grams) is 0.8 or more. Only windows that share
 at least one 5-gram with an item of their length are fingerprinted: others have similarity 0, so nothing is lost by that.
