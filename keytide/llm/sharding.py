@@ -3,11 +3,19 @@
 A row descends the tree. At each node every child draws -ln(u) / weight, u in (0, 1) from a hash of the row's key and the
 child's name; the smallest draw wins, so a child gets its share of the node's weight. A child's draw depends on its own
 name and weight alone: when weights change, rows only move at nodes on the paths to changed leaves, into a child whose
-weight rose or out of one whose weight fell. Shards fill racks of `per_rack` and regions of `racks` racks; a shard beyond
-full regions opens a region of its own, so that at such counts one more shard takes rows only into itself.
+weight rose or out of one whose weight fell. `assign` does that for any tree.
+
+`shard` takes a number of shards, and one more shard must take rows only into itself, at every number. Shards fill regions of
+racks * per_rack places. A full region draws as above. A region that isn't full yet has places without a shard, and so can't
+draw with its present weight, since a greater weight would bring rows to its old shards too. Its places arrive one after
+another instead: the first one at -ln(u) / places, where the descent by rack and shard leads; each later one -ln(u) / (places
+left) after the one before, in an order given by hashes. The region's draw is the time of its first place that has a
+shard, which is distributed as its shards' weight asks. A new shard changes nothing but that its place now counts: a row moves only
+if that place arrives before all others, and then it moves there. The last place to be filled makes the first arrival the region's draw,
+as in full regions.
 
 Edge cases: a null key is a key of its own; null texts count no bytes; equal rows get equal shards and slots of their own;
-an empty table gives an empty result; other columns are dropped.
+an empty table gives an empty result; other columns are dropped; fewer than one shard is refused.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keytide.llm.shared import table
 
-SHARDS = 40
+SHARDS, PER_RACK, RACKS = 40, 5, 2
 #: Rows of a shard that are numbered in one task, on average.
 SLOT_ROWS = 200_000
 
@@ -30,10 +38,6 @@ class Tree:
 
     leaves: tuple[tuple[int, int, int, float], ...]
 
-    @staticmethod
-    def even(shards: int, per_rack: int = 5, racks: int = 2) -> Tree:
-        return Tree(tuple((s // (per_rack * racks), s // per_rack, s, 1.0) for s in range(shards)))
-
     def children(self, level: int, parent: int | None) -> dict[int, float]:
         out: dict[int, float] = {}
         for leaf in self.leaves:
@@ -42,14 +46,56 @@ class Tree:
         return out
 
 
-def _winner(key: Column, level: int, children: Column) -> Column:
-    """The child with the smallest draw of an array of (name, weight)."""
+def _wait(key: Column, *names: Column) -> Column:
+    """-ln(u), u in (0, 1) from a hash of the names and the key."""
+    return -F.log((F.shiftrightunsigned(F.xxhash64(*names, key), 11) + F.lit(0.5)) / F.lit(float(1 << 53)))
 
-    def draw(child: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(level), child["name"], key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((-F.log(u) / child["weight"]).alias("d"), child["name"].alias("c"))
 
-    return F.array_min(F.transform(children, draw))["c"]
+def _draws(key: Column, level: int, children: Column) -> Column:
+    """(draw, name) of an array of (name, weight)."""
+    return F.transform(children, lambda child: F.struct((_wait(key, F.lit(level), child["name"]) / child["weight"]).alias("d"), child["name"].alias("c")))
+
+
+def _winner(key: Column, level: int, children: Column) -> Column:
+    """The child with the smallest draw of an array of (name, weight)."""
+    return F.array_min(_draws(key, level, children))["c"]
+
+
+def _even(first: Column, n: int) -> Column:
+    """The children first, first + 1, ... of equal weight."""
+    return F.transform(F.lit(list(range(n))), lambda i: F.struct((first + i).alias("name"), F.lit(1.0).alias("weight")))
+
+
+def placed(df: DataFrame, shards: int, key: Column, out: str = "shard", per_rack: int = PER_RACK, racks: int = RACKS) -> DataFrame:
+    """df with the shard of each row among so many; with one more, rows only move into the new one."""
+    if shards < 1:
+        raise ValueError("there must be a shard")
+    places = per_rack * racks
+    full, open_ = divmod(shards, places)
+
+    def first_place(region: Column) -> Column:
+        rack = _winner(key, 1, _even(region * racks, racks))
+        return _winner(key, 2, _even(rack * per_rack, per_rack))
+
+    regions = F.array(*(F.struct(F.lit(g).alias("name"), F.lit(float(places)).alias("weight")) for g in range(full)))
+    best = F.array_min(_draws(key, 0, regions)) if full else None
+    if not open_:
+        return df.withColumn("_best", best).withColumn(out, first_place(F.col("_best.c"))).drop("_best")
+    # the open region: its places in the order in which they arrive, and when the first of those with a shard does
+    begin = full * places
+    rank = lambda i: F.when(F.col("_first") == begin + i, F.lit(-1.0)).otherwise(_wait(key, F.lit(3), begin + i))
+    order = F.array_sort(F.transform(F.lit(list(range(places))), lambda i: F.struct(rank(i).alias("r"), i.alias("i"))))
+    turn = F.col("_turn")
+    # the wait before the first place is that of a full region, so that the last place to be filled changes no draw
+    waits = F.transform(F.sequence(F.lit(0), turn), lambda m: F.when(m == 0, _wait(key, F.lit(0), F.lit(full))).otherwise(_wait(key, F.lit(4), F.lit(full), m)) / (places - m))
+    df = df.withColumn("_first", first_place(F.lit(full))).withColumn("_order", order)
+    df = df.withColumn("_turn", F.array_position(F.transform("_order", lambda x: x["i"] < open_), True).cast("int") - 1)
+    there = begin + F.element_at("_order", turn + 1)["i"]
+    if not full:
+        return df.withColumn(out, there).drop("_first", "_order", "_turn")
+    time = F.aggregate(waits, F.lit(0.0), lambda a, x: a + x)
+    df = df.withColumn("_best", best).withColumn("_time", time)
+    return df.withColumn(out, F.when(F.col("_time") < F.col("_best.d"), there).otherwise(first_place(F.col("_best.c")))).drop("_first", "_order", "_turn", "_best", "_time")
 
 
 def assign(df: DataFrame, tree: Tree, key: Column, out: str = "shard") -> DataFrame:
@@ -85,8 +131,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slot_rows: int = SLOT_ROWS) ->
     rows = docs.select(
         "doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    rows = assign(rows, Tree.even(shards), F.col("doc_id"))
-    rows = assign(rows, Tree.even(shards + 1), F.col("doc_id"), "grown_shard")
+    rows = placed(placed(rows, shards, F.col("doc_id")), shards + 1, F.col("doc_id"), "grown_shard")
     buckets = max(8, -(-docs.count() // (shards * slot_rows)))
     return numbered(rows, "shard", "doc_id", buckets).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
