@@ -4,10 +4,11 @@ A line is good or bad. Its features are those of itself and of the lines before
 kinds of words, repetition. The field is fitted on labelled documents, whose lines all take the document's label; forward-backward
 gives each line's marginal, and the document's score is their mean weighted by the lines' lengths.
 
-The fit takes at most TRAIN_DOCS labelled documents (those with the lowest hash of doc_id) and of each at most TRAIN_LINES
-consecutive lines; scoring covers every line. Labels, lang, source and doc_id are no features. Edge cases: a null or empty
-text is one empty line and gets a score too; documents with several labels take the lowest, null labels are ignored; without any label
-every score is 0.5 and `keep_good` keeps all rows; repeated rows get equal scores; an empty table gives an empty result; other columns are kept by `scored`.
+The fit takes at most TRAIN_DOCS labelled documents (those with the lowest hash of doc_id) and all their lines; scoring covers every
+line of every document. Labels, lang, source and doc_id are no features. Edge cases: a null or empty text is one empty line and gets a score
+too; documents with several labels take the lowest, null labels are ignored; of several rows of a labelled doc_id one is learnt from, whose
+text has the lowest hash; without any label every score is 0.5 and `keep_good` keeps all rows; repeated rows get equal scores; an
+empty table gives an empty result; other columns are kept by `scored`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from keytide.llm import textvec as tv
 from keytide.llm.shared import ship, table
 
-TRAIN_DOCS, TRAIN_LINES, ROUNDS, L2, THRESHOLD = 3000, 400, 120, 1e-3, 0.7
+TRAIN_DOCS, ROUNDS, L2, THRESHOLD = 3000, 120, 1e-3, 0.7
 
 # Kinds of bytes.
 _KINDS = np.zeros((6, 256), bool)
@@ -181,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = T
     ship(spark)
     chosen = labels.where(F.col("quality").isNotNull() & F.coalesce(learn_from, F.lit(False))).groupBy("doc_id").agg(F.min("quality").alias("_kt_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # so many rows at most: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_kt_label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("_kt_label").alias("_kt_label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def features(batches):
         for batch in batches:
@@ -189,12 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = T
             for lo, hi, data, off in tv.chunks(batch.column(1)):
                 feats, _, first = line_features(data, off)
                 for i in range(hi - lo):
-                    a, b = int(first[i]), int(first[i + 1])
-                    if b - a > TRAIN_LINES:
-                        a += (b - a - TRAIN_LINES) // 2
-                        b = a + TRAIN_LINES
                     out[0].append(batch.column(0)[lo + i].as_py())
-                    out[1].append(feats[a:b].tobytes())
+                    out[1].append(feats[first[i] : first[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["label", "feats"])
 
     got = rows.select(F.col("_kt_label").cast("int"), "text").mapInArrow(features, "label int, feats binary").toArrow()
@@ -241,7 +239,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = train(docs, labels, fold("doc_id", 4) != 2)
-    out = scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), F.col("_kt_quality.score").alias("score"), F.col("_kt_quality.lines").alias("n_lines"), F.col("_kt_quality.good_lines").alias("n_good_lines")
+    return scored(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"),
+        F.col("_kt_quality.score").alias("score"),
+        (F.col("_kt_quality.score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("_kt_quality.lines").alias("n_lines"),
+        F.col("_kt_quality.good_lines").alias("n_good_lines"),
     )
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
