@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.llm.components import components
-from keytide.llm.shared import saved, ship, table
+from keytide.llm.shared import join_skewed, saved, ship, table
 
 SIMILAR, CHANCE, BUCKET, BLOCK, SEED = 0.9, 0.98, 64, 1024, 7
 
@@ -178,16 +178,18 @@ def linked(distinct: DataFrame, similar: float = SIMILAR, chance: float = CHANCE
 
 def near_duplicates(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     distinct = saved(classes(vectors), "vectors-distinct")
     found = saved(linked(distinct, similar), "vectors-links")
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), "vectors-components")
     links = found.where("other is null").groupBy("id").agg(F.sum("linked").alias("linked"))
     known = distinct.join(links, "id", "left").join(roots, "id", "left")
-    known = known.select(F.col("embedding").alias("_e"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("component"))
-    rows = vectors.join(known, (F.col("embedding") == F.col("_e")) & F.col("vec_id").isNotNull(), "left")
-    component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    known = saved(known.select("embedding", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "vectors-known")
+    there = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
+    alone = vectors.where(~there).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    rows = join_skewed(vectors.where(there), known, ["embedding"], how="left").select("vec_id", "n_links", "component_id").union(alone)
+    component = F.coalesce("component_id", "vec_id")
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op7_hyperplane_links(spark: SparkSession, sf_dir: str) -> DataFrame:

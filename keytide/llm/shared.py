@@ -9,8 +9,12 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_own: set[str] = set()
+#: Keys with this share of all rows are joined by broadcast.
+SHARE = 1 / 256
 BATCH_BYTES = 8 << 20
 
 
@@ -19,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; set to a temporary one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset and driver and executors are one process (tests), a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keytide-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -29,8 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/keytide-{label}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, in a folder of the application's own that is deleted when the driver ends."""
+    app = f"{shared_dir(spark).rstrip('/')}/keytide-{spark.sparkContext.applicationId}"
+    if app not in _own:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+        _own.add(app)
+    return f"{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -51,10 +65,25 @@ def remove_table(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
+def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], count: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with keyed, a written table that has each key once and the number of its rows in `count`.
+
+    Keys with SHARE of all rows or more, 1 / SHARE of them at most, are broadcast, so that their rows stay where they are; of the
+    others none has many rows in one task."""
+    most = max(2.0, (keyed.agg(F.sum(count)).first()[0] or 0) * SHARE)
+    hot = keyed.where(F.col(count) >= most)
+    many = rows.join(F.broadcast(hot), on)
+    few = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.where(F.col(count) < most), on, how)
+    return many.unionByName(few)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once per application, so that Python workers can import it, and bounds the
-    bytes of an Arrow batch, as rows may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bytes of an Arrow batch, as rows may be very long; a smaller bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     if (app := spark.sparkContext.applicationId) in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
