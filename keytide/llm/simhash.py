@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from keytide.llm import textvec as tv
 from keytide.llm.components import components
-from keytide.llm.shared import saved, ship, table
+from keytide.llm.shared import join_skewed, saved, ship, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints in one table bucket up to which its pairs are compared.
@@ -106,31 +106,39 @@ def links(fps: DataFrame) -> DataFrame:
     return near.union(stars).distinct()
 
 
-def labelled(fps: DataFrame, links_of: Callable[[DataFrame], DataFrame], label: str = "simhash") -> DataFrame:
-    """(doc_id, same, fp, root, component_id) of every row of fps(doc_id, same, fp), by the links of its distinct values."""
-    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{label}-distinct")
+def classes(fps: DataFrame, links_of: Callable[[DataFrame], DataFrame], label: str = "simhash") -> DataFrame:
+    """(fp, n, head, root, component_id) of every distinct fp of fps(doc_id, same, fp), by the links of these: its rows; which of them
+    stands first; a fp that stands for the component, and the smallest doc_id of the component. A null doc_id stands last."""
+    head = F.struct(F.col("doc_id").isNull().alias("_kt_null"), F.coalesce("doc_id", F.lit(0)).alias("_kt_id"), F.col("same").alias("_kt_same"))
+    reps = saved(fps.groupBy("fp").agg(F.min(head).alias("head"), F.count("*").alias("n")), f"{label}-distinct")
     roots = components(links_of(reps.select("fp")), f"{label}-links").withColumnRenamed("id", "fp")
-    lows = roots.join(reps, "fp").groupBy("root").agg(F.min("low").alias("component"))
+    low = F.when(~F.col("head._kt_null"), F.col("head._kt_id"))
+    lows = roots.join(reps, "fp").groupBy("root").agg(F.min(low).alias("component"))
     linked = roots.join(lows, "root").select("fp", "root", "component")
-    classes = reps.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id")
+    return reps.join(linked, "fp", "left").select(
+        "fp", "n", "head", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), low).otherwise(F.col("component")).alias("component_id")
     )
-    return fps.join(classes, "fp").select("doc_id", "same", "fp", "root", "component_id")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """classes() of the fingerprints of docs."""
+    return classes(saved(fingerprints(docs), "simhash"), links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, same, fp, root, component_id) of every row; component_id is the smallest doc_id that links reach, root a
     fingerprint that stands for the component."""
-    return labelled(saved(fingerprints(docs), "simhash"), links)
+    fps = saved(fingerprints(docs), "simhash")
+    found = saved(classes(fps, links).drop("head"), "simhash-classes")
+    return join_skewed(fps, found, ["fp"]).select("doc_id", "same", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_classes) -> DataFrame:
     """One row of docs for each component of near(docs): that of the smallest doc_id, a null one only if there is no other."""
-    key = {"_kt_null": F.col("doc_id").isNull(), "_kt_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
-    found = near(docs).groupBy("root").agg(F.min(F.struct(*(c.alias(k) for k, c in key.items()), F.col("same").alias("_kt_same"))).alias("k"))
-    rows = docs.withColumns(key | {"_kt_same": F.xxhash64("text")})
-    key = [*key, "_kt_same"]
-    return rows.join(found.select("k.*"), key, "left_semi").dropDuplicates(key).select(docs.columns)
+    found = near(docs).groupBy("root").agg(F.min("head").alias("head"))
+    key = ["_kt_null", "_kt_id", "_kt_same"]
+    rows = docs.withColumns({"_kt_null": F.col("doc_id").isNull(), "_kt_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_kt_same": F.xxhash64("text")})
+    return rows.join(found.select("head.*"), key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
