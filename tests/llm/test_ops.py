@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keytide.llm import catalog, decontam, embeddings, extract, langmodel, licenses, linededup, mixing, quality, sharding, simhash
+from keytide.llm import catalog, decontam, embeddings, extract, langmodel, licenses, linededup, mixing, quality, shared, sharding, simhash
 from keytide.llm.components import components
 
 
@@ -98,6 +98,7 @@ def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     held = [(got[r.doc_id].predicted, r.quality) for r in labels if got[r.doc_id].held_out]
     assert len(held) > 50 and sum(a == b for a, b in held) / len(held) >= 0.95
+    assert spark.createDataFrame([*got.values()][:1]).columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
 
 
@@ -111,6 +112,16 @@ def test_quality_edge_cases(spark, sf, messy, ids, none):
     nothing = quality.train(messy, labels.limit(0), F.lit(True))
     assert {r._kt_quality.score for r in quality.scored(messy, nothing).collect()} == {0.5}
     assert quality.keep_good(messy, labels.limit(0)).columns == messy.columns
+    twice = quality.train(messy.union(messy), labels, F.lit(True))
+    assert np.array_equal(model.weights, twice.weights) and np.array_equal(model.turns, twice.turns)
+
+
+def test_every_line_of_a_labelled_text_is_learnt_from(spark):
+    rows = [(1, "good words here\n" * 30), (2, "@@ ## 11\n" * 450 + "plain end of it\n" * 450)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    train = lambda rows: quality.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, F.lit(True))
+    whole, ends = train(rows), train([rows[0], (2, rows[1][1].replace("@@ ## 11\n", "", 100))])
+    assert not np.allclose(whole.weights, ends.weights)
 
 
 # op2
@@ -325,19 +336,73 @@ def test_links_lose_none_whatever_counts_as_hot(spark, monkeypatch, hot):
 # op6
 
 
+def wait(key, *names):
+    """-ln(u) of the chained hashes of ints and a long."""
+    h = 42
+    for x in names:
+        h = xxhash.xxh64_intdigest(int(x).to_bytes(4, "little", signed=True), h)
+    if key is not None:
+        h = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), h)
+    return -math.log(((h >> 11) + 0.5) / (1 << 53))
+
+
+def placed(key, shards, per_rack=5, racks=2):
+    places = per_rack * racks
+
+    def first(region):
+        rack = min(range(region * racks, (region + 1) * racks), key=lambda r: wait(key, 1, r))
+        return min(range(rack * per_rack, (rack + 1) * per_rack), key=lambda s: wait(key, 2, s))
+
+    arrivals = []
+    for region in range(-(-shards // places)):
+        order, time = [first(region)], wait(key, 0, region) / places
+        if order[0] >= shards:
+            order += sorted((s for s in range(region * places, (region + 1) * places) if s != order[0]), key=lambda s: wait(key, 3, s))
+        for turn, place in enumerate(order):
+            time += wait(key, 4, region, turn) / (places - turn) if turn else 0
+            if place < shards:
+                arrivals.append((time, place))
+                break
+    return min(arrivals)[1]
+
+
+def test_draws_by_brute_force(spark):
+    keys = [*range(60), -5, 1 << 40, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    for n in (1, 7, 10, 11, 38, 40, 41, 45):
+        got = [r.shard for r in sharding.placed(df, n, F.col("k")).collect()]
+        assert got == [placed(k, n) for k in keys]
+    with pytest.raises(ValueError):
+        sharding.placed(df, 0, F.col("k"))
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    key, most = F.col("id"), 60
+    df = spark.range(6000)
+    for low in range(1, most, 20):
+        part = df
+        for n in range(low, low + 21):
+            part = sharding.placed(part, n, key, f"s{n}")
+        rows = part.toPandas()
+        for n in range(low, low + 20):
+            old, new = rows[f"s{n}"], rows[f"s{n + 1}"]
+            assert ((old == new) | (new == n)).all() and (new < n + 1).all()
+            share = new.value_counts(normalize=True)
+            assert len(share) == n + 1 and abs(share - 1 / (n + 1)).max() < 6 * math.sqrt(1 / (n + 1) / 6000)
+
+
 def test_shards(spark, sf, messy, ids, none):
     for df in (docs(spark, sf), messy):
         rows = sharding.shard(df).collect()
-        assert len(rows) == df.count()
-        assert all(r.size == len((t or "").encode()) + 16 for r, t in [])
+        assert len(rows) == df.count() and all_ids(sharding.shard(df)) == all_ids(df)
+        data = lambda t: (t or "").encode()
+        want = sorted((str(r.doc_id), len(data(r.text)) + 16, zlib.crc32(data(r.text)), placed(r.doc_id, 40), placed(r.doc_id, 41)) for r in df.select("doc_id", "text").collect())
+        assert sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows) == want
         slots = collections.defaultdict(list)
         for r in rows:
             slots[r.shard].append(r.slot)
-            assert r.grown_shard in (r.shard, 40) and 0 <= r.shard < 40
+            assert r.law == "key" and r.grown_shard in (r.shard, 40)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    texts = {r.doc_id: r.text or "" for r in docs(spark, sf).collect()}
-    for r in sharding.shard(docs(spark, sf)).collect():
-        assert (r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 16, zlib.crc32(texts[r.doc_id].encode()))
     assert sharding.shard(none).count() == 0
 
 
@@ -390,6 +455,24 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_doubles_are_compared_as_such(spark):
+    tiny, near = [1e-60, 2e-60, 0.0], [1.0, 2.0 + 1e-12, 0.0]
+    df = spark.createDataFrame([(1, tiny), (2, tiny), (3, near), (4, [-0.0, 0.0, 5e-324]), (5, [0.0, 0.0, 1e300])], "vec_id bigint, embedding array<double>")
+    got = by_id(embeddings.near_duplicates(df), "vec_id")
+    assert [(got[i].n_links, got[i].component_id) for i in range(1, 6)] == [(2, 1), (2, 1), (2, 1), (1, 4), (1, 4)]
+
+
+@pytest.mark.parametrize("share", [1 / 256, 0.001])
+def test_join_of_hot_keys(spark, monkeypatch, share):
+    monkeypatch.setattr(shared, "SHARE", share)
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(100)] + [(99, 100), (None, 101)], "k bigint, i bigint")
+    keyed = rows.where("k < 50").groupBy("k").agg(F.count("*").alias("n"))
+    want = {r.k: r.n for r in keyed.collect()}
+    for how in ("inner", "left"):
+        got = sorted((r.i, r.n) for r in shared.join_skewed(rows, keyed, ["k"], how=how).collect())
+        assert got == sorted((r.i, want.get(r.k)) for r in rows.collect() if how == "left" or r.k in want)
+
+
 def test_recall_of_the_plan():
     for n in (10, 10_000, 10_000_000):
         bits, tables = embeddings.plan(n)
