@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from zlib import crc32
 
 import numpy as np
 
-_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*>)""", re.S)
-_ATTR = re.compile(r"""(?:class|id|role|style|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A tag from its name on. Quotes count where a value begins; a tag that isn't closed ends at the next "<". Nothing is tried twice: what is
+#: matched is never given back, and an open quote without an end is found out once.
+_NAME = re.compile(r"/?[a-zA-Z][^\s/><]*+")
+_REST = re.compile(r"""(?:[^"'<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>]*+)|["'])*+""")
+_ATTR = re.compile(r"""([^\s=/"'][^\s=/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S*+)))?+""")
+_TELLING = frozenset("class id role style itemprop aria-label".split())
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -39,85 +44,140 @@ _TAGS = {t: k for k, tags in enumerate(("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "a
 N_TAGS, N_WORDS = 15, len(LEXICON)
 #: Kinds of tags that matter when an ancestor has them: article, nav, header, footer, aside, form.
 _ABOVE = (5, 6, 7, 8, 9, 10)
-N_FEATURES = N_TAGS + 2 * (N_WORDS + 1) + len(_ABOVE) + 18
+#: Bits for the words of attributes that no list has, by hash: trees learn from pages what they tell.
+HASHED = 16
+N_FEATURES = N_TAGS + 2 * (N_WORDS + 1 + HASHED) + len(_ABOVE) + 18
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 
 class Page:
-    """Nodes in page order: parent, depth, tag and the like, as lists; pieces of text by node."""
+    """Nodes in page order: parent, tag and the like, as lists; pieces of text by node. Reading takes time in proportion to the
+    source, whatever it holds: nothing is searched for again, and ends of elements are found by name."""
 
-    __slots__ = ("tags", "parent", "depth", "words", "hidden", "pieces", "mark")
+    __slots__ = ("tags", "parent", "depth", "words", "hidden", "pieces", "mark", "_stack", "_open_at", "_blocks", "_limits")
 
     def __init__(self, source: str) -> None:
         self.tags, self.parent, self.depth, self.words, self.hidden = ["#root"], [-1], [0], [0], [False]
         #: (node, text), or (node, None) for a break between blocks, in page order.
         self.pieces: list[tuple[int, str | None]] = []
         self.mark: list[bool] = [False]
+        #: Open nodes; of each tag, of the tags that are no inline ones and of those in _LIMITS: their places in the stack.
+        self._stack: list[int] = [0]
+        self._open_at: dict[str, list[int]] = {}
+        self._blocks: list[int] = [0]
+        self._limits: list[int] = [0]
         self._read(source)
 
-    def _open(self, stack: list[int], tag: str, attrs: str) -> int:
+    def _add(self, tag: str, attrs: str) -> int:
         node = len(self.tags)
         self.tags.append(tag)
-        self.parent.append(stack[-1])
-        self.depth.append(len(stack))
-        kinds = 0
-        for value in _ATTR.findall(attrs) if attrs else ():
-            for token in _TOKEN.findall(value):
-                if (k := _KIND.get(token.lower())) is not None:
-                    kinds |= 1 << k
+        self.parent.append(self._stack[-1])
+        self.depth.append(len(self._stack))
+        kinds, hidden = 0, False
+        if "=" in attrs:
+            for m in _ATTR.finditer(attrs):
+                if m.lastindex > 1 and m[1].lower() in _TELLING:
+                    for token in _TOKEN.findall(m[m.lastindex]):
+                        token = token.lower()
+                        k = _KIND.get(token)
+                        kinds |= 1 << (N_WORDS + crc32(token.encode()) % HASHED if k is None else k)
+        if attrs:
+            hidden = bool(_HIDDEN.search(attrs))
         self.words.append(kinds)
-        self.hidden.append(bool(attrs) and bool(_HIDDEN.search(attrs)))
+        self.hidden.append(hidden)
         self.mark.append("data-main" in attrs)
         return node
 
-    def _close(self, stack: list[int], at: int) -> None:
-        if any(self.tags[n] not in INLINE for n in stack[at:]):
-            self.pieces.append((stack[at], None))
-        del stack[at:]
+    def _push(self, node: int, tag: str) -> None:
+        at = len(self._stack)
+        self._stack.append(node)
+        self._open_at.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self._blocks.append(at)
+        if tag in _LIMITS:
+            self._limits.append(at)
+
+    def _close(self, at: int) -> None:
+        """Closes the open nodes from a place of the stack on."""
+        if self._blocks[-1] >= at:
+            self.pieces.append((self._stack[at], None))
+        while len(self._stack) > at:
+            self._open_at[self.tags[self._stack.pop()]].pop()
+        for places in (self._blocks, self._limits):
+            while places[-1] >= at:
+                places.pop()
+
+    def _last(self, tag: str) -> int:
+        """The place of the last open node of a tag, 0 if there is none."""
+        places = self._open_at.get(tag)
+        return places[-1] if places else 0
+
+    def _end(self, tag: str) -> None:
+        at = self._last(tag)
+        if at and (tag not in INLINE or at > self._blocks[-1]):  # an inline end doesn't close blocks
+            self._close(at)
+        elif not at and tag in _BLOCKS:
+            self.pieces.append((self._stack[-1], None))
+
+    def _implied_ends(self, tag: str) -> None:
+        """What a start of the tag ends."""
+        ends = _ENDS.get(tag, ())
+        while True:
+            at = max((self._last(t) for t in ends), default=0)
+            if tag in _BLOCKS:
+                at = max(at, self._last("p"))
+            if not at or at < self._limits[-1]:
+                break
+            self._close(at)
+            if tag not in ("tr", "tbody", "tfoot", "thead"):
+                break
+        if tag == "body" and (head := self._last("head")):
+            self._close(head)
 
     def _read(self, source: str) -> None:
-        stack, at = [0], 0
-        while m := _TAG.search(source, at):
-            if m.start() > at:
-                self.pieces.append((stack[-1], source[at : m.start()]))
-            at = m.end()
-            if not (tag := m[3]):
+        at, size = 0, len(source)
+        while at < size:
+            lt = source.find("<", at)
+            if lt < 0:
+                lt = size
+            if lt > at:
+                self.pieces.append((self._stack[-1], source[at:lt]))
+            if lt == size:
+                break
+            follows = source[lt + 1 : lt + 2]
+            if follows in ("!", "?") or (follows == "/" and not source[lt + 2 : lt + 3].isalpha()):
+                close, n = ("-->", 3) if source.startswith("!--", lt + 1) else (">", 1)
+                end = source.find(close, lt + 2)
+                at = size if end < 0 else end + n
+                continue
+            m = _NAME.match(source, lt + 1)
+            if not m:
+                self.pieces.append((self._stack[-1], "<"))
+                at = lt + 1
                 continue
-            tag = tag.lower()
-            if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        self._close(stack, i)
-                        break
-                    if tag in INLINE and self.tags[stack[i]] not in INLINE:
-                        break  # an inline end doesn't close blocks
-                else:
-                    if tag in _BLOCKS:
-                        self.pieces.append((stack[-1], None))
+            rest = _REST.match(source, m.end())
+            at = rest.end()
+            if source.startswith(">", at):
+                at += 1
+            elif at >= size:
+                break  # the page ends within a tag
+            tag, attrs = m[0].lower(), rest[0]
+            if tag[0] == "/":
+                self._end(tag[1:])
                 continue
-            if tag in _BLOCKS or tag in _ENDS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if (t := self.tags[stack[i]]) == "p" and tag in _BLOCKS or t in _ENDS.get(tag, ()):
-                        self._close(stack, i)
-                        if tag not in ("tr", "tbody", "tfoot", "thead"):
-                            break
-                    elif t in _LIMITS:
-                        break
-            if tag == "body":  # ends an open head
-                for i in range(1, len(stack)):
-                    if self.tags[stack[i]] == "head":
-                        self._close(stack, i)
-                        break
+            if tag in _BLOCKS or tag in _ENDS or tag == "body":
+                self._implied_ends(tag)
             if tag not in INLINE:
-                self.pieces.append((stack[-1], None))
-            node = self._open(stack, tag, m[4])
+                self.pieces.append((self._stack[-1], None))
+            node = self._add(tag, attrs)
             if tag in RAW:
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                self.pieces.append((node, source[at : end.start() if end else len(source)]))
-                at = end.end() if end else len(source)
-            elif tag not in VOID and not m[4].endswith("/"):
-                stack.append(node)
-        if at < len(source):
-            self.pieces.append((stack[-1], source[at:]))
+                end = _CLOSE[tag].search(source, at)
+                self.pieces.append((node, source[at : end.start() if end else size]))
+                at = source.find(">", end.end()) + 1 if end else size
+                if not at:
+                    break
+            elif tag not in VOID and not attrs.endswith("/"):
+                self._push(node, tag)
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(features, characters of own text, whether the node is under a tag without main text) by node."""
@@ -129,29 +189,30 @@ class Page:
                 own[node] += len(text.strip())
                 marks[node] += text.count(".") + text.count(",")
                 words[node] += text.count(" ")
-        never = np.array([t in NEVER for t in self.tags])
         kind = np.array([_TAGS.get(t, -1) for t in self.tags])
-        bits, hidden = np.array(self.words), np.array(self.hidden)
-        lex = np.concatenate([(bits[:, None] >> np.arange(N_WORDS)) & 1, hidden[:, None]], axis=1).astype(bool)
-        above = np.stack([kind == k for k in _ABOVE], axis=1)
-        seen, over = lex.copy(), above.copy()
-        # own tags and words, and those of ancestors; texts of subtrees: by levels of depth
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
-        for at in levels[1:]:
-            up = parent[at]
-            seen[at] |= seen[up]
-            over[at] |= over[up]
-            never[at] |= never[up]
+        # what a node has itself and what its ancestors have, as bits: words and hashes, hidden, kinds of tags above, no text, in a link
+        hide, first = N_WORDS + HASHED, N_WORDS + HASHED + 1
+        above = {_ABOVE[i]: 1 << (first + i) for i in range(len(_ABOVE))}
+        no_text, link_bit = 1 << (first + len(_ABOVE)), 1 << (first + len(_ABOVE) + 1)
+        bits = []
+        for tag, k, w, hid in zip(self.tags, kind.tolist(), self.words, self.hidden, strict=True):
+            bits.append(w | hid << hide | above.get(k, 0) | (no_text if tag in NEVER else 0) | (link_bit if k == 3 else 0))
+        mine = np.array(bits)
+        end, up = list(range(1, n + 1)), self.parent
+        for i in range(1, n):
+            bits[i] |= bits[up[i]]
+        for i in range(n - 1, 0, -1):  # a subtree's nodes follow its root
+            if end[i] > end[up[i]]:
+                end[up[i]] = end[i]
+        every = np.array(bits)
+        has = lambda x, b: (x & b) != 0
+        columns = lambda x, low, many: (x[:, None] >> np.arange(low, low + many)) & 1
+        lex, seen, over = columns(mine, 0, first), columns(every, 0, first), columns(every, first, len(_ABOVE))
+        never, in_link = has(every, no_text), has(every, link_bit)
         own[never] = 0
-        link = np.where(kind == 3, own, 0)
-        total = np.stack([own, link, np.ones(n), marks * ~never, (kind == 0).astype(float), words * ~never])
-        in_link = kind == 3
-        for at in levels[1:]:
-            in_link[at] |= in_link[parent[at]]
-        total[1] = np.where(in_link, own, 0)
-        for at in reversed(levels[1:]):
-            for row in total:
-                np.add.at(row, parent[at], row[at])
+        sums = np.zeros((6, n + 1))
+        np.cumsum(np.stack([own, np.where(in_link, own, 0), np.ones(n), marks * ~never, (kind == 0).astype(float), words * ~never]), axis=1, out=sums[:, 1:])
+        total = sums[:, np.array(end)] - sums[:, :n]
         chars, links, tags, points, paras, spaces = total
         kids = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n, int)
         rank = np.zeros(n)
