@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -273,6 +274,44 @@ def test_decoding_is_the_best_that_holds_together():
         assert gain[1:][kept[1:]].sum() == pytest.approx(best)
 
 
+MEGABYTE = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a x " * (MEGABYTE // 5), "<div>" * (MEGABYTE // 9) + "</x>" * (MEGABYTE // 9), "<div>" * (MEGABYTE // 5), "<i><div>" + "<b>" * (MEGABYTE // 8) + "</i>" * (MEGABYTE // 8),
+     "<b>" * (MEGABYTE // 20) + "<blockquote></blockquote>" * (MEGABYTE // 40), "<script>" + "</script " * (MEGABYTE // 9), "<p x=1 " + "a" * MEGABYTE + ">", "<a b=\"" * (MEGABYTE // 6), "<!" * (MEGABYTE // 2), "<p>x" * (MEGABYTE // 4)],
+    ids=["unclosed", "closers", "nested", "inline ends", "blocks in inline", "raw ends", "long name", "quotes", "declarations", "paragraphs"],
+)
+def test_a_page_takes_time_in_proportion_to_its_length(source):
+    began = time.process_time()
+    extract.main_texts([source], extract.trained())
+    assert time.process_time() - began < 5 + 5 * (extract.trained.cache_info().hits < 2)
+
+
+def test_stray_quotes_and_unclosed_tags():
+    page = lambda body: f"<body><nav><ul><li><a href=/x>menu</a></ul></nav><article>{body}</article>"
+    cases = {
+        "<p title=it's>first words of it, all in a row.</p><p>And 'more' of it.</p>": "first words of it, all in a row. And 'more' of it.",
+        '<p class="a" " >one "two" three, four.</p>': 'one "two" three, four.',
+        "<p class=a <b>bold</b> words follow it here.</p>": "bold words follow it here.",
+        "<p title='a > b' data-x=\"<p>\">some words of it.</p>": "some words of it.",
+        "<p>3 < 4 and 5 > 4, as <i>all</i> know.</p>": "3 < 4 and 5 > 4, as all know.",
+        "<p>before<!-- > not <p>this --> and after it, too.</p>": "before and after it, too.",
+        "<p>the last words of it": "the last words of it",
+    }
+    assert extract.main_texts([page(x) for x in cases], extract.trained()) == list(cases.values())
+    # the page ends in a tag, which goes
+    assert extract.main_texts(["<article><p>all the words there are, here.</p><p class=x"], extract.trained()) == ["all the words there are, here."]
+
+
+def test_words_that_no_list_has_can_be_learnt():
+    pages = [extract.Page(f"<div class={'qq' if i % 2 else 'zz'}>some words</div>") for i in range(40)]
+    x = np.concatenate([p.features()[0][1:] for p in pages])
+    odds = extract.Boosted(rounds=5).fit(x, np.arange(40) % 2.0, np.ones(40)).log_odds(x)
+    assert ((odds > 0) == (np.arange(40) % 2 == 1)).all()
+
+
 def test_page_edge_cases(spark):
     body = "<article><h1>Head line</h1><p>Some words,&nbsp;more &amp; <b>bold</b>er.<p>Second\n  block of it</article>"
     cases = [None, "", "plain words, no tags at all.", "<", "<p", "<!-- only -->", f"<body><nav><ul><li><a href=/x>menu</a></ul></nav>{body}<div class=comments><p>I like it a lot</p></div>", body, body, "<div>" * 3000 + "deep", "<script>var x='<p>no</p>'</script>"]
