@@ -61,9 +61,9 @@ def _winner(key: Column, level: int, children: Column) -> Column:
     return F.array_min(_draws(key, level, children))["c"]
 
 
-def _even(first: Column, n: int) -> Column:
-    """The children first, first + 1, ... of equal weight."""
-    return F.transform(F.lit(list(range(n))), lambda i: F.struct((first + i).alias("name"), F.lit(1.0).alias("weight")))
+def _next(key: Column, level: int, first: Column, n: int) -> Column:
+    """The winner of the children first, first + 1, ... of equal weight: written out, as their number is fixed, so that it compiles."""
+    return F.array_min(F.array(*(F.struct(_wait(key, F.lit(level), first + i).alias("d"), (first + i).alias("c")) for i in range(n))))["c"]
 
 
 def placed(df: DataFrame, shards: int, key: Column, out: str = "shard", per_rack: int = PER_RACK, racks: int = RACKS) -> DataFrame:
@@ -73,29 +73,32 @@ def placed(df: DataFrame, shards: int, key: Column, out: str = "shard", per_rack
     places = per_rack * racks
     full, open_ = divmod(shards, places)
 
-    def first_place(region: Column) -> Column:
-        rack = _winner(key, 1, _even(region * racks, racks))
-        return _winner(key, 2, _even(rack * per_rack, per_rack))
-
-    regions = F.array(*(F.struct(F.lit(g).alias("name"), F.lit(float(places)).alias("weight")) for g in range(full)))
-    best = F.array_min(_draws(key, 0, regions)) if full else None
-    if not open_:
-        return df.withColumn("_best", best).withColumn(out, first_place(F.col("_best.c"))).drop("_best")
-    # the open region: its places in the order in which they arrive, and when the first of those with a shard does
-    begin = full * places
-    rank = lambda i: F.when(F.col("_first") == begin + i, F.lit(-1.0)).otherwise(_wait(key, F.lit(3), begin + i))
-    order = F.array_sort(F.transform(F.lit(list(range(places))), lambda i: F.struct(rank(i).alias("r"), i.alias("i"))))
-    turn = F.col("_turn")
-    # the wait before the first place is that of a full region, so that the last place to be filled changes no draw
-    waits = F.transform(F.sequence(F.lit(0), turn), lambda m: F.when(m == 0, _wait(key, F.lit(0), F.lit(full))).otherwise(_wait(key, F.lit(4), F.lit(full), m)) / (places - m))
-    df = df.withColumn("_first", first_place(F.lit(full))).withColumn("_order", order)
-    df = df.withColumn("_turn", F.array_position(F.transform("_order", lambda x: x["i"] < open_), True).cast("int") - 1)
-    there = begin + F.element_at("_order", turn + 1)["i"]
-    if not full:
-        return df.withColumn(out, there).drop("_first", "_order", "_turn")
-    time = F.aggregate(waits, F.lit(0.0), lambda a, x: a + x)
-    df = df.withColumn("_best", best).withColumn("_time", time)
-    return df.withColumn(out, F.when(F.col("_time") < F.col("_best.d"), there).otherwise(first_place(F.col("_best.c")))).drop("_first", "_order", "_turn", "_best", "_time")
+    def first_place(df: DataFrame, region: Column) -> DataFrame:
+        df = df.withColumn("_rack", _next(key, 1, region * racks, racks))
+        return df.withColumn("_place", _next(key, 2, F.col("_rack") * per_rack, per_rack))
+
+    made = ["_best", "_rack", "_place", "_ranks", "_win", "_turn", "_time", "_there"]
+    if full:
+        waits = [F.struct((_wait(key, F.lit(0), F.lit(g)) / places).alias("d"), F.lit(g).alias("c")) for g in range(full)]
+        df = df.withColumn("_best", F.array_min(F.array(*waits)))
+    if open_:
+        # the open region: its first place leads where the descent does, the others follow by rank; the first that has a shard is taken
+        begin = full * places
+        df = first_place(df, F.lit(full))
+        ranks = F.transform(F.lit(list(range(begin, begin + places))), lambda i: F.struct(_wait(key, F.lit(3), i).alias("r"), i.alias("s")))
+        df = df.withColumn("_ranks", ranks).withColumn("_win", F.array_min(F.slice("_ranks", 1, open_)))
+        has, own = F.col("_place") < begin + open_, F.element_at("_ranks", F.col("_place") - (begin - 1))
+        turn = F.array_position(F.array_sort("_ranks"), F.col("_win")) - F.when(own < F.col("_win"), 1).otherwise(0)
+        df = df.withColumn("_turn", F.when(has, 0).otherwise(turn)).withColumn("_there", F.when(has, F.col("_place")).otherwise(F.col("_win.s")))
+        if not full:
+            return df.withColumn(out, F.col("_there")).drop(*made)
+        # the wait before the first place is that of a full region, so that the last place to be filled changes no draw
+        first = _wait(key, F.lit(0), F.lit(full)) / places
+        later = lambda i: _wait(key, F.lit(4), F.lit(full), i) / (places - i)
+        time = F.aggregate(F.slice(F.lit(list(range(1, places))), F.lit(1), F.col("_turn").cast("int")), first, lambda a, i: a + later(i))
+        df = df.withColumn("_time", time)
+    df = first_place(df, F.col("_best.c"))
+    return df.withColumn(out, F.when(F.col("_time") < F.col("_best.d"), F.col("_there")).otherwise(F.col("_place")) if open_ else F.col("_place")).drop(*made)
 
 
 def assign(df: DataFrame, tree: Tree, key: Column, out: str = "shard") -> DataFrame:
