@@ -1,15 +1,20 @@
 """Benchmark decontamination by SimHash windows.
 
 Each benchmark item is compared with the windows of a document that have as many words as it (the whole document, if that is
-shorter). A window's fingerprint is the SimHash of its word 5-grams, repeats counting. It is compared with those of all items of
-its length, in 8 blocks of 8 bits, each with its Hamming ball of radius 2: as 8 * 3 > 23, every item fingerprint within 23 bits is found. That
-is a dense scan and no index; what prunes is the lookup of shared 5-grams before it.
-At the similarity sought the distance is 10 bits on average with a standard deviation of 3. Found pairs count if their exact
-weighted similarity (sum of the smaller over sum of the larger counts of 5-grams) is 0.8 or more. Only windows that share
-at least one 5-gram with an item of their length are fingerprinted: others have similarity 0, so nothing is lost by that.
+shorter). A window's fingerprint is the SimHash of its word 5-grams, repeats counting, of 192 bits. The index of the items of a length has
+a table for each of 12 blocks of 16 bits. A window looks up the Hamming ball of radius 3 of each of its blocks (697 keys) and
+fetches the items there. Two fingerprints within 43 bits are within 3 bits in two blocks at least (else 11 blocks would differ in 4 bits
+or more, 44 in all), so items that two tables give are the candidates: all within the radius, and few others (0.7 % of unrelated pairs; one
+table would give 12 %). Their complete distances are verified, and then found pairs count if their exact weighted similarity (sum
+of the smaller over sum of the larger counts of 5-grams) is 0.8 or more.
 
-Items go to the workers in indexes of at most ITEM_BYTES of text; more items mean more indexes, each a pass of its own, so that what is
-sent is bounded whatever the benchmark's size. Documents are neither shuffled nor collected.
+At a similarity of 0.8 the distance is 29 bits on average with a standard deviation of 5: pairs at the very threshold are
+within the radius with a chance of 0.998, more similar ones even more surely (tests measure it). Only windows that share at least one 5-gram
+with an item of their length are fingerprinted: others have similarity 0, so nothing is lost by that.
+
+Items go to the workers in indexes of at most ITEM_BYTES of text. More items mean more indexes, one after another, each with a pass of its own
+whose result is written before the index is given up, so that what is sent and held is bounded whatever the benchmark's size. Documents
+are neither shuffled nor collected.
 
 Words are as for the other operators ([^\\x20\\x09-\\x0D]+, A-Z lower-cased). Items of fewer than five words are one gram of all their
 words. Edge cases: null, empty and word-less texts and items match nothing; items without an item_id are left out, by `hits` and `clean` alike (the
@@ -19,38 +24,42 @@ items: nothing is found; extra columns are kept by `clean` and dropped by `hits`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.llm import textvec as tv
-from keytide.llm.shared import ship, table
-
-SHINGLE, SIMILAR, RADIUS, ITEM_BYTES = 5, 0.8, 23, 8 << 20
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+from keytide.llm.shared import remove_table, saved, ship, table
+
+SHINGLE, SIMILAR, ITEM_BYTES = 5, 0.8, 8 << 20
+#: Blocks of 16 bits; the radius of their balls; how many blocks must agree; and what that guarantees.
+BLOCKS, NEAR, AGREE = 12, 3, 2
+RADIUS = (NEAR + 1) * (BLOCKS - AGREE + 1) - 1
+BALL = np.array([m for m in range(1 << 16) if m.bit_count() <= NEAR], np.uint16)
+#: Windows that are fingerprinted, and that look up the index, at once.
+WINDOWS, LOOKUPS = 1 << 15, 1 << 11
 _BITS = 20
 
 
-def _near_bytes() -> np.ndarray:
-    """near[v, w]: whether bytes v and w differ in at most RADIUS // 8 bits."""
-    v = np.arange(256)
-    return _POP[v[:, None] ^ v[None, :]] <= RADIUS // 8
-
-
 def grams_of(h: np.ndarray, k: int) -> np.ndarray:
     return tv.join_hash(*(h[i : len(h) - k + 1 + i] for i in range(k))) if len(h) >= k else np.zeros(0, np.uint64)
 
 
-def _bits(grams: np.ndarray) -> np.ndarray:
-    return np.unpackbits(grams.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-
-
 def window_fingerprints(grams: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints, as rows of 8 bytes, of the windows of n grams that begin at `at` (all within grams)."""
-    c = np.zeros((len(grams) + 1, 64), np.int32)
-    np.cumsum(_bits(grams), axis=0, dtype=np.int32, out=c[1:])
-    return np.packbits(2 * (c[at + n] - c[at]) > n, axis=1)
+    """Fingerprints, as rows of BLOCKS blocks, of the windows of n grams that begin at `at` (all within grams). A block at a time: 64 bytes a gram."""
+    out = np.zeros((len(at), BLOCKS), np.uint16)
+    c = np.zeros((len(grams) + 1, 16), np.int32)
+    place = np.arange(16, dtype=np.uint16)
+    for b in range(BLOCKS):
+        if b % 4 == 0:
+            words = grams if b == 0 else tv.mix(grams + np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64)))
+        block = (words >> np.uint64(16 * (b % 4))).astype(np.uint16)
+        np.cumsum((block[:, None] >> place) & 1, axis=0, dtype=np.int32, out=c[1:])
+        out[:, b] = ((2 * (c[at + n] - c[at]) > n) * (1 << place.astype(np.int64))).sum(axis=1)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,48 +70,73 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return low / (len(a) + len(b) - low) if low else 0.0
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+class Shelf:
+    """The items of one length: for each block a table from its values to items, and a bit for each value that there is."""
+
+    def __init__(self, own: np.ndarray, fps: np.ndarray) -> None:
+        self.own, self.fps, self.tables = own, fps, []
+        for b in range(BLOCKS):
+            order = np.argsort(fps[:, b], kind="stable")
+            keys, first = np.unique(fps[order, b], return_index=True)
+            there = np.zeros(1 << 16, bool)
+            there[keys] = True
+            self.tables.append((np.packbits(there, bitorder="little"), keys, np.append(first, len(order)), order))
+
+    def fetched(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place on the shelf) of the pairs that AGREE tables or more give for the balls of window fingerprints."""
+        n, pairs = len(self.own), [np.zeros(0, np.int64)]
+        for b, (there, keys, first, order) in enumerate(self.tables):
+            probe = fps[:, b, None] ^ BALL
+            w, j = np.nonzero((there[probe >> 3] >> (probe & 7).astype(np.uint8)) & 1)
+            k = np.searchsorted(keys, probe[w, j])
+            many = first[k + 1] - first[k]
+            item = order[np.arange(many.sum()) + np.repeat(first[k] - np.cumsum(many) + many, many)]
+            pairs.append(np.repeat(w, many) * n + item)
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        pair = pair[times >= AGREE]
+        return pair // n, pair % n
+
+    def candidates(self, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of all pairs within RADIUS."""
+        for lo in range(0, len(fps), LOOKUPS):
+            part = fps[lo : lo + LOOKUPS]
+            w, i = self.fetched(part)
+            near = distances(part[w], self.fps[i]) <= RADIUS
+            yield from zip((lo + w[near]).tolist(), self.own[i[near]].tolist(), strict=True)
+
+
 class Index:
-    """Items by gram and, by length, by fingerprint."""
+    """Lengths of items by gram; and items by length and fingerprint."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.ids, self.grams, self.size = [], [], []
+        self.ids, self.grams, size = [], [], []
         for item, text in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0], x[1] or "")):
             data = np.frombuffer((text or "").encode(), np.uint8)
             off = np.array([0, len(data)])
             starts, ends, _ = tv.words(data, off)
             if len(starts):
                 self.ids.append(item)
-                self.size.append(len(starts))
+                size.append(len(starts))
                 self.grams.append(grams_of(tv.word_hashes(data, starts, ends), min(SHINGLE, len(starts))))
-        self.size = np.array(self.size, np.int64)
+        size = np.array(size, np.int64)
         self.by_k = {}
-        for k in sorted({min(SHINGLE, int(n)) for n in self.size}):
-            own = [i for i in range(len(self.ids)) if min(SHINGLE, self.size[i]) == k]
-            pairs = np.unique(np.array([(g, i) for i in own for g in self.grams[i].tolist()], dtype=[("g", "u8"), ("i", "i8")]))
+        for k in sorted({min(SHINGLE, n) for n in size.tolist()}):
+            own = [i for i, n in enumerate(size.tolist()) if min(SHINGLE, n) == k]
+            pairs = np.zeros(sum(len(self.grams[i]) for i in own), dtype=[("g", "u8"), ("n", "i8")])
+            pairs["g"], pairs["n"] = np.concatenate([self.grams[i] for i in own]), np.repeat(size[own], [len(self.grams[i]) for i in own])
+            pairs = np.unique(pairs)
             keys, first = np.unique(pairs["g"], return_index=True)
             lut = np.zeros(1 << _BITS, bool)
             lut[(keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.by_k[k] = (keys, np.append(first, len(pairs)), pairs["i"], lut)
+            self.by_k[k] = (keys, np.append(first, len(pairs)), pairs["n"].copy(), lut)
         self.shelves = {}
-        for n in sorted(set(self.size.tolist())):
-            own = np.flatnonzero(self.size == n)
-            fps = np.concatenate([window_fingerprints(self.grams[i], np.array([0]), len(self.grams[i])) for i in own])
-            self.shelves[n] = (own, fps)
-        self.near = _near_bytes()
-
-    def candidates(self, n: int, fps: np.ndarray) -> np.ndarray:
-        """near[w, i]: whether the i-th item of n words is within RADIUS of window fingerprint w."""
-        own, shelf = self.shelves[n]
-        out = np.zeros((len(fps), len(own)), bool)
-        for lo in range(0, len(fps), step := max(1, (1 << 22) // max(1, len(own)))):
-            part = fps[lo : lo + step]
-            block = np.zeros((len(part), len(own)), bool)
-            for b in range(8):  # the blocks' balls: whoever is within RADIUS is in one of them
-                block |= self.near[part[:, b]][:, shelf[:, b]]
-            w, i = np.nonzero(block)
-            fit = _POP[part[w] ^ shelf[i]].sum(axis=1) <= RADIUS
-            out[lo + w[fit], i[fit]] = True
-        return out
+        for n in sorted(set(size.tolist())):
+            own = np.flatnonzero(size == n)
+            self.shelves[n] = Shelf(own, np.concatenate([window_fingerprints(self.grams[i], np.array([0]), len(self.grams[i])) for i in own]))
 
     def find(self, data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, float]]]:
         """For each row the (item_id, first word of its best window, similarity) of the items it holds."""
@@ -111,7 +145,7 @@ class Index:
         if not len(starts) or not self.ids:
             return found
         h = tv.word_hashes(data, starts, ends)
-        for k, (keys, bounds, owners, lut) in self.by_k.items():
+        for k, (keys, bounds, sizes, lut) in self.by_k.items():
             g = grams_of(h, k)
             at = np.flatnonzero(lut[(g & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
             key = np.searchsorted(keys, g[at])
@@ -122,24 +156,22 @@ class Index:
             at, key, row = at[inside], key[inside], row[inside]
             if not len(at):
                 continue
-            n_own = bounds[key + 1] - bounds[key]
-            rep = np.repeat(np.arange(len(at)), n_own)
-            item = owners[np.repeat(bounds[key], n_own) + np.arange(len(rep)) - np.repeat(np.cumsum(n_own) - n_own, n_own)]
-            self._windows(found, g, k, first, row[rep], at[rep], item)
+            many = bounds[key + 1] - bounds[key]
+            size = sizes[np.arange(many.sum()) + np.repeat(bounds[key] - np.cumsum(many) + many, many)]
+            self._windows(found, g, k, first, np.repeat(row, many), np.repeat(at, many), size)
         return found
 
-    def _windows(self, found, g, k, first, row, at, item) -> None:
+    def _windows(self, found, g, k, first, row, at, size) -> None:
         """Windows around the shared grams: fingerprints, lookups, exact similarity."""
-        size = self.size[item]
         order = np.lexsort((at, size, row))
-        row, at, item, size = row[order], at[order], item[order], size[order]
+        row, at, size = row[order], at[order], size[order]
         cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(size) != 0)) + 1
         for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), [*cuts.tolist(), len(row)], strict=True):
             r, n = int(row[lo]), int(size[lo])
             a, b = int(first[r]), int(first[r + 1])
             width = min(n, b - a)
             grams = width - k + 1
-            hits = np.unique(at[lo:hi])
+            hits = at[lo:hi]
             # all windows that hold a hit: starts in [hit - grams + 1, hit]
             low, high = np.maximum(hits - grams + 1, a), np.minimum(hits, b - width)
             mark = np.zeros(b - width - a + 2, np.int32)
@@ -147,14 +179,11 @@ class Index:
             np.add.at(mark, high - a + 1, -1)
             begin = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             best: dict[int, tuple[float, int]] = {}
-            own = self.shelves[n][0]
             for part in np.split(begin, np.flatnonzero(np.diff(begin) > 1) + 1):
-                for x in range(0, len(part), 1 << 15):
-                    w = part[x : x + (1 << 15)]
+                for x in range(0, len(part), WINDOWS):
+                    w = part[x : x + WINDOWS]
                     span = g[a + w[0] : a + w[-1] + grams]
-                    near = self.candidates(n, window_fingerprints(span, w - w[0], grams))
-                    for wi, ii in zip(*np.nonzero(near), strict=True):
-                        i = int(own[ii])
+                    for wi, i in self.shelves[n].candidates(window_fingerprints(span, w - w[0], grams)):
                         s = similarity(span[w[wi] - w[0] : w[wi] - w[0] + grams], self.grams[i])
                         if s >= SIMILAR and s > best.get(i, (0.0, 0))[0]:
                             best[i] = (s, int(w[wi]))
@@ -165,19 +194,20 @@ HIT = "array<struct<item_id: bigint, first_word: bigint, similarity: double>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("similarity", pa.float64())]))
 
 
-def indexes(benchmark: DataFrame, item_bytes: int = ITEM_BYTES):
-    """Indexes of at most about item_bytes of text each, one after another."""
+def _parts(benchmark: DataFrame, item_bytes: int) -> tuple[DataFrame, int]:
+    """The items with an id and a text, and the number of indexes for them."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // item_bytes))
-    for i in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        got = part.toArrow()
-        yield Index(got["item_id"].to_pylist(), got["text"].to_pylist())
+    return items, max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
+
+
+def index_of(items: DataFrame, part: int, parts: int) -> Index:
+    """The index of one of so many parts of the items, of about ITEM_BYTES of text; these come to the driver."""
+    got = (items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)).toArrow()
+    return Index(got["item_id"].to_pylist(), got["text"].to_pylist())
 
 
 def finder(spark: SparkSession, index: Index):
-    """A function of text columns: what a text holds of the index's items."""
+    """A function of text columns, what a text holds of the index's items; and the index as it was sent."""
     ship(spark)
     sent = spark.sparkContext.broadcast(index)
 
@@ -185,22 +215,37 @@ def finder(spark: SparkSession, index: Index):
     def find(text: pa.Array) -> pa.Array:
         return pa.array([x for _, _, data, off in tv.chunks(text) for x in sent.value.find(data, off)], _HIT)
 
-    return find
+    return find, sent
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): what documents hold of benchmark items, with the best window of each."""
+    items, parts = _parts(benchmark, item_bytes)
     out = None
-    for index in indexes(benchmark, item_bytes):
-        part = docs.select("doc_id", F.inline(finder(docs.sparkSession, index)(F.col("text"))))
-        out = part if out is None else out.union(part)
+    for i in range(parts):
+        find, sent = finder(docs.sparkSession, index_of(items, i, parts))
+        found = docs.select("doc_id", F.inline(find(F.col("text"))))
+        if parts == 1:
+            return found
+        found = saved(found, "windows")
+        sent.destroy()
+        out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    for index in indexes(benchmark, item_bytes):
-        docs = docs.where(F.size(finder(docs.sparkSession, index)(F.col("text"))) == 0)
+    items, parts = _parts(benchmark, item_bytes)
+    for i in range(parts):
+        find, sent = finder(docs.sparkSession, index_of(items, i, parts))
+        left = docs.where(F.size(find(F.col("text"))) == 0)
+        if parts == 1:
+            return left
+        left = saved(left, "windows")
+        sent.destroy()
+        if i:
+            remove_table(docs)
+        docs = left
     return docs
 
 
