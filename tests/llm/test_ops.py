@@ -568,12 +568,53 @@ def test_benchmark_edge_cases(spark, messy, none):
     assert decontam.hits(none, bench).count() == 0 and decontam.hits(df, bench.limit(0)).count() == 0
 
 
-def test_blocks_find_all_within_the_radius():
+def unrelated(rng, n):
+    return rng.integers(0, 1 << 16, (n, decontam.BLOCKS)).astype(np.uint16)
+
+
+def test_index_fetches_all_within_the_radius_and_few_others():
     rng = np.random.default_rng(6)
-    index = decontam.Index(list(range(40)), [" ".join(f"v{rng.integers(1000)}" for _ in range(9)) for _ in range(40)])
-    fps = np.concatenate([index.shelves[9][1] ^ np.packbits(rng.random((40, 64)) < p, axis=1) for p in (0.05, 0.3, 0.4, 0.5)])
-    far = np.array([[bin(int.from_bytes((a ^ b).tobytes(), "big")).count("1") for b in index.shelves[9][1]] for a in fps])
-    assert np.array_equal(index.candidates(9, fps), far <= decontam.RADIUS)
+    shelf = decontam.Shelf(np.arange(400) + 7, unrelated(rng, 400))
+    flips = lambda p: (rng.random((400, decontam.BLOCKS, 16)) < p) @ (1 << np.arange(16))
+    for p in (0.02, 0.15, 0.2, 0.22, 0.3):
+        fps = shelf.fps ^ flips(p).astype(np.uint16)
+        want = {(w, i + 7) for w, i in zip(*np.nonzero(decontam.distances(fps[:, None], shelf.fps[None]) <= decontam.RADIUS), strict=True)}
+        assert set(shelf.candidates(fps)) == want and (p > 0.15 or len(want) >= 395)
+    w, _ = shelf.fetched(unrelated(rng, 1000))
+    assert len(w) / (1000 * 400) < 0.02
+    # exactly at the radius, dealt over the blocks in the worst ways
+    for spread in ([4] * 10 + [3, 0], [3, 3, *[4] * 9, 1], [0, 0, *[5] * 8, 3, 0], [16, 16, 11, *[0] * 9]):
+        assert sum(spread) == decontam.RADIUS
+        fps = shelf.fps[:1] ^ np.array([(1 << n) - 1 for n in spread], np.uint16)
+        assert (0, 7) in set(shelf.candidates(fps))
+
+
+def test_recall_at_the_similarity():
+    """Windows of which some grams are others, down to a similarity of 0.8: how many are within the radius."""
+    rng = np.random.default_rng(8)
+    near, total = 0, 0
+    for n in (10, 20, 30, 60, 200, 900):
+        for _ in range(200):
+            item = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            window = item.copy()
+            window[rng.permutation(n)[: n // 9]] = rng.integers(0, 1 << 63, n // 9)
+            assert decontam.similarity(window, item) >= decontam.SIMILAR
+            a, b = (decontam.window_fingerprints(x, np.array([0]), n) for x in (window, item))
+            near += int(decontam.distances(a, b)[0] <= decontam.RADIUS)
+            total += 1
+    assert near / total >= 0.99
+
+
+def test_fingerprints_by_brute_force():
+    rng = np.random.default_rng(9)
+    grams = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    words = [grams, *(decontam.tv.mix(grams + np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64))) for b in (4, 8))]
+    got = decontam.window_fingerprints(grams, np.array([0, 3, 30]), 20)
+    for row, at in zip(got, (0, 3, 30), strict=True):
+        for b in range(decontam.BLOCKS):
+            for j in range(16):
+                ones = sum(int(x) >> (16 * (b % 4) + j) & 1 for x in words[b // 4][at : at + 20])
+                assert (int(row[b]) >> j & 1) == (2 * ones > 20)
 
 
 # op9
