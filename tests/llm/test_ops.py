@@ -153,8 +153,43 @@ def test_line_dedup(spark, messy, least, batches):
     assert got == line_oracle([(r.doc_id, r.text) for r in df.collect()], least)
 
 
+@pytest.mark.parametrize("batches", [1, 3, 8])
+@pytest.mark.parametrize("least", [4, 5, 10])
+def test_rows_of_one_document_count_once(spark, batches, least):
+    rows = [(i, f"shared line\n{'all but one' if i else 'one'}\nown {i} {j}\n") for i in range(5) for j in range(6)] + [(None, "shared line\nx")] * 3 + [(None, "shared line\ny")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least, batches, 2)
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect()), key=str)
+    assert got == line_oracle(rows, least) and (least < 10) == any(x[2] for x in got)
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    runs = linededup.LineRuns(spark, 3)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    batch = lambda low: spark.range(low, low + 50).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    for low in (0, 10, 20, 30, 40):
+        runs.add(batch(low))
+    assert runs.common and [len(x) for x in runs.levels] == [1, 0, 1]
+    with linededup._in_order(spark):
+        fresh, merged = plan(runs.fresh(batch(5))), plan(runs.merged(runs.levels[0][0], runs.levels[2][0]))
+    assert "SortMergeJoin" in fresh and fresh.count("Exchange") == 1 and fresh.count("Sort [") == 1  # the batch's own
+    assert "SortMergeJoin" in merged and "Exchange" not in merged and "Sort [" not in merged and merged.count("Bucketed: true") == 2
+    held = {(r.h1, r.h2): r.n for r in runs.close().collect()}
+    assert len(held) == 50 and runs.close().count() == 50  # 20 to 69 are in three batches or more
+    runs.remove()
+    assert not runs.folders and not spark.catalog.listTables(pattern="keytide_lines_*")
+
+
+def test_a_store_goes_on_with_more_corpora(spark):
+    rows = lambda low: [(i, f"common line\nmine {i}") for i in range(low, low + 3)]
+    frame = lambda low: spark.createDataFrame(rows(low), "doc_id bigint, text string")
+    runs = linededup.LineRuns(spark, 5, 2)
+    assert {r.n_dropped for r in linededup.dedup_lines(frame(0), runs=runs).collect()} == {0}
+    assert {r.n_dropped for r in linededup.dedup_lines(frame(3), runs=runs).collect()} == {1}
+    runs.remove()
+
+
 def test_line_dedup_of_nothing(none):
-    assert linededup.dedup_lines(none).count() == 0
+    assert linededup.dedup_lines(none).count() == 0 and linededup.dedup_lines(none, batches=3).count() == 0
 
 
 def test_line_dedup_matches_sql(spark, sf):
