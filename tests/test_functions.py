@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from keytide.catalog import TRACE_CONFIG
 from keytide.functions.logfmt import LogfmtFormatter
-from keytide.functions.tuning import Setting, Tuner, in_window
+from keytide.functions.tuning import MOVES, Climb, Setting, State, Tuner, climbed, in_window
 from keytide.model import ChunkStatus, Config, Stage
 from keytide.operators import chunks
 
@@ -25,6 +25,26 @@ def test_hill_climb_trace():
     assert tuner.memory.best is None and tuner.now == Setting(300, 8)
 
 
+CLIMB = Config(min_batch_size=100, batch_size_step=100, max_batch_size=1000, min_threads=1, threads_step=1, max_threads=4, optimal_use_limit=3)
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
+def test_a_climb_never_leaves_its_bounds_and_grows_one_thing_at_a_time(rates):
+    now, memory = Setting(100, 1), Climb()
+    for rate in rates:
+        before = memory.state(now, CLIMB)
+        new, memory = climbed(now, rate, memory, CLIMB)
+        assert 100 <= new.batch <= CLIMB.max_batch_size and 1 <= new.threads <= CLIMB.max_threads
+        assert not (new.batch > now.batch and new.threads > now.threads and before is not State.HOLDING)
+        assert memory.last == now and memory.rate == rate and (memory.uses < CLIMB.optimal_use_limit if memory.best else not memory.uses)
+        now = new
+
+
+def test_every_state_has_its_moves():
+    assert set(MOVES) == {(s, paid) for s in State for paid in (True, False)}
+
+
 @pytest.mark.parametrize(
     ("cpu", "latency", "want"),
     [(61, 5, Setting(3000, 0)), (41, 5, Setting(3000, 4)), (30, 51, Setting(1000, 0)), (30, 31, Setting(1500, 8)), (30, 5, Setting(3000, 8))],
