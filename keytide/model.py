@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import enum
+import json
+import os
+import tomllib
+import types
+import typing
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 
@@ -47,10 +53,13 @@ class LayoutSpec:
 
 @dataclass
 class Config:
-    """Settings of a copy. Unknown names are refused when it is made from a mapping."""
+    """Settings of a copy. Unknown names are refused when it is made from a mapping, a file or the environment."""
 
     source: str = "source"
     destination: str = "destination"
+    #: Where the two sides are. If both are given and differ, values are compared across types and names aren't swapped automatically.
+    source_endpoint: str | None = None
+    destination_endpoint: str | None = None
     min_chunk_size: int = 100_000
     max_chunk_count: int = 200
     auto_swap: bool = False
@@ -62,6 +71,7 @@ class Config:
     operation_settings: dict = field(default_factory=dict)
     layouts: tuple[LayoutSpec, ...] = ()
     layouts_at_once: int = 4
+    #: Rows of a task and chunks copied at once, and how they are tuned.
     min_batch_size: int = 1000
     batch_size_step: int = 500
     max_batch_size: int = 3000
@@ -69,20 +79,55 @@ class Config:
     threads_step: int = 1
     max_threads: int = 8
     optimal_use_limit: int = 3
+    #: Batches are so many thousands of rows: a task costs more than a statement.
+    batch_unit: int = 1000
     cpu_soft: float = 40
     cpu_hard: float = 60
     latency_soft: float = 30
     latency_hard: float = 50
-    bulk_validation_batch: int = 10_000
-    validation_batch: int = 1000
-    full_validation_hours: int = 0
+    full_validation_hours: float = 0
+    #: Keys that are loaded from the log at most before they are applied, and seconds of the loader's first window.
     pending_max: int = 100_000
     window_seconds: int = 3600
+    #: Seconds of log that may be left when application counts as caught up.
+    lag_seconds: int = 60
     segments_per_round: int = 4
+    #: Tries of the last validation, while names are swapped already, and seconds that one may take.
+    swap_tries: int = 10
+    swap_seconds: float = 60
+
+    def __post_init__(self) -> None:
+        ends = self.source_endpoint, self.destination_endpoint
+        if all(ends) and ends[0] != ends[1]:
+            self.auto_swap = False
+            if self.operation == "base":
+                self.operation = "cross"
 
     @classmethod
-    def of(cls, settings: dict) -> Config:
+    def of(cls, settings: Mapping) -> Config:
         known = cls.__dataclass_fields__
         if unknown := sorted(k for k in settings if k.lower() not in known):
             raise ValueError(f"unknown settings: {', '.join(unknown)}")
-        return cls(**{k.lower(): v for k, v in settings.items()})
+        values = {k.lower(): v for k, v in settings.items()}
+        if "layouts" in values:
+            values["layouts"] = tuple(x if isinstance(x, LayoutSpec) else LayoutSpec(x["name"], tuple(x["columns"]), x.get("unique", False)) for x in values["layouts"])
+        if "preferred_window" in values:
+            window = values["preferred_window"]
+            values["preferred_window"] = tuple(window.split("-")) if isinstance(window, str) else tuple(window)
+        return cls(**values)
+
+    @classmethod
+    def load(cls, path: str | None = None, environment: Mapping[str, str] = os.environ, prefix: str = "KEYTIDE_") -> Config:
+        """Settings of a JSON or TOML file, over them those of the environment: the prefix and a setting's name in capitals, as JSON or plain text."""
+        values: dict = {}
+        if path:
+            with open(path, "rb") as f:
+                values = tomllib.load(f) if path.endswith(".toml") else json.load(f)
+        kinds = typing.get_type_hints(cls)
+        for name, text in environment.items():
+            if name.startswith(prefix):
+                key = name.removeprefix(prefix).lower()
+                kind = kinds.get(key)
+                plain = kind is str or (isinstance(kind, types.UnionType) and str in typing.get_args(kind)) or (key == "preferred_window" and not text.startswith("["))
+                values[key] = text if plain else json.loads(text.lower() if kind is bool else text)
+        return cls.of(values)

@@ -67,11 +67,12 @@ def rematched_removed(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str)
 
 
 def row_differences(src: DataFrame, dst: DataFrame, pk: str) -> DataFrame:
-    """(pk, side): keys of which a row is in one side only."""
+    """(pk, side): keys of which a row is in one side only, as often as it is there more often. Both sides are counted by row at once, against each other."""
     columns = src.columns
-    one = src.select(columns).exceptAll(dst.select(columns)).select(pk, F.lit("source").alias("side"))
-    two = dst.select(columns).exceptAll(src.select(columns)).select(pk, F.lit("destination").alias("side"))
-    return one.union(two)
+    both = src.select(*columns, F.lit(1).alias("_n")).union(dst.select(*columns, F.lit(-1)))
+    left = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "source").otherwise("destination")
+    return left.select(pk, F.explode(F.array_repeat(side, F.abs("_n").cast("int"))).alias("side"))
 
 
 def unmatched(src: DataFrame, dst: DataFrame, log: DataFrame, pk: str, mode: str = "base") -> DataFrame:

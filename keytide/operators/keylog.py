@@ -4,6 +4,7 @@ Every operator is an aggregate, a union or an anti-join on the key; none gathers
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,12 +108,13 @@ class WindowLoader:
         return updated_keys(part), removed_keys(part)
 
 
-def windows(log: DataFrame, most: int, width: int) -> list[tuple[int, int]]:
-    """All windows of a WindowLoader(most, width) over log, until its mark is the latest ts; later ones would only read that second
+def windows(log: DataFrame, most: int, width: int, mark: int | None = None) -> list[tuple[int, int]]:
+    """All windows of a WindowLoader(most, width, mark) over log, until its mark is the latest ts; later ones would only read that second
     again. They follow from the numbers of entries by op and second, of which the driver holds those of each second with entries.
 
     Raises ValueError where the loader would stay before the end as no width is small enough."""
-    got = log.where("ts is not null").groupBy("ts", "op").agg(F.count("*").alias("n")).toArrow()
+    log = log.where("ts is not null") if mark is None else log.where(F.col("ts") >= mark)
+    got = log.groupBy("ts", "op").agg(F.count("*").alias("n")).toArrow()
     if not got.num_rows:
         return []
     seconds, at = np.unique(got["ts"].to_numpy(), return_inverse=True)
@@ -121,14 +123,17 @@ def windows(log: DataFrame, most: int, width: int) -> list[tuple[int, int]]:
     np.add.at(before, (ops, at + 1), got["n"].to_numpy())
     before = before.cumsum(axis=1)
     out: list[tuple[int, int]] = []
-    start, high, grown, first = int(seconds[0]), int(seconds[-1]), False, True
+    start, high, grown, first = int(seconds[0]) if mark is None else mark, int(seconds[-1]), False, mark is None
     while start and (first or start < high):
         lo, hi = np.searchsorted(seconds, start), np.searchsorted(seconds, start + width, "right")
+        if hi == lo:  # the entries of the mark's second have moved on
+            width, grown = width * 2, True
+            continue
         largest, last = int((before[:, hi] - before[:, lo]).max()), int(seconds[hi - 1])
         if largest > most and not grown:
             if not (width := width // 2):
                 raise ValueError(f"over {most} entries of one operation from second {start} on: no window is small enough")
-        elif not first and last == start:
+        elif not first and last <= start:
             width, grown = width * 2, True
         else:
             out.append((start, start + width))
@@ -136,6 +141,36 @@ def windows(log: DataFrame, most: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
+def counter(log: DataFrame) -> Callable[[int, int], int]:
+    """A function of two seconds: the entries between them. The driver holds the number of each second with entries."""
+    got = log.groupBy("ts").agg(F.count("*").alias("n")).orderBy("ts").toArrow()
+    seconds, before = got["ts"].to_numpy(), np.append(0, np.cumsum(got["n"].to_numpy()))
+    return lambda a, b: int(before[np.searchsorted(seconds, b, "right")] - before[np.searchsorted(seconds, a)])
+
+
+def batches(log: DataFrame, found: list[tuple[int, int]], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive windows that hold `most` entries together at most, or one window; from the first start to the last end."""
+    starts = np.array([start for start, _ in found], np.int64)
+    got = log.where(F.col("ts").between(found[0][0], found[-1][1])).groupBy("ts").agg(F.count("*").alias("n")).toArrow()
+    at = np.searchsorted(starts, got["ts"].to_numpy(), "right") - 1
+    sizes = np.bincount(at, got["n"].to_numpy(), len(found)).astype(int).tolist()
+    held, begin = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield found[begin][0], found[i][0]
+            held, begin = 0, i
+        held += n
+    yield found[begin][0], found[-1][1]
+
+
+def next_batch(updated: DataFrame, removed: DataFrame, n: int) -> DataFrame:
+    """(kind, pk): the n smallest keys of the larger of the two pending sets; if they are equally large, of the removed ones."""
+    every = updated.select(F.lit("updated").alias("kind"), "pk").union(removed.select(F.lit("removed").alias("kind"), "pk"))
+    sizes = every.groupBy("kind").agg(F.count("*").alias("n"))
+    larger = sizes.agg(F.max_by("kind", F.struct("n", F.col("kind") == "removed")).alias("kind"))  # one row
+    return every.join(F.broadcast(larger), "kind").orderBy("pk").limit(n)
+
+
 def window_sizes(log: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
     """(window, start_ts, end_ts, n_updated, n_removed) of all windows(log): the numbers of keys that the loader gives for each.
 

@@ -14,10 +14,10 @@ def fitted(rows: DataFrame, target: T.StructType) -> DataFrame:
     return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields))
 
 
-def copy_missing(src: DataFrame, dst: DataFrame, pk: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Source rows, of a range if given, that the destination lacks: appending them twice does no harm."""
+def copy_missing(src: DataFrame, dst: DataFrame, pk: str, low: int | None = None, high: int | None = None, target: T.StructType | None = None) -> DataFrame:
+    """Source rows, of a range if given, that the destination lacks: appending them twice does no harm. With a target schema, dst may hold keys alone."""
     rows = src if low is None else key_range(src, pk, low, high)
-    return fitted(rows.join(dst.select(pk), pk, "left_anti"), dst.schema)
+    return fitted(rows.join(dst.select(pk), pk, "left_anti"), target or dst.schema)
 
 
 def updated(src: DataFrame, dst: DataFrame, keys: DataFrame, pk: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +13,17 @@ def key_range(df: DataFrame, pk: str, low: int, high: int) -> DataFrame:
     return df.where(F.col(pk).between(low, high))
 
 
+def key_ranges(df: DataFrame, pk: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows of any of the ranges, both ends included; ranges that meet are one filter."""
+    joined: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if joined and low <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    return df.where(reduce(Column.__or__, (F.col(pk).between(a, b) for a, b in joined), F.lit(False)) if joined else F.lit(False))
+
+
 def key_set(df: DataFrame, keys: DataFrame, pk: str) -> DataFrame:
     """Rows with one of the keys. A semi-join: the side that is small is found at run time, and no list of literals is built."""
     return df.join(keys, pk, "left_semi")

@@ -1,22 +1,28 @@
 """Keyed Parquet datasets with versions.
 
-Rows lie in buckets of `span` keys. A manifest names the folder of each bucket; a change writes new folders for the buckets that it
-touches, reads none of the others, and then replaces the manifest as a whole. Readers see one version; a change that breaks
-off leaves the old one. Versions that were applied from a stream keep its batch number, so a repeated batch is passed over."""
+Rows lie in buckets of `span` keys; a manifest names the folders of each bucket. Copies add folders to buckets. Changes add a layer: the
+changed keys, and the rows that these have now. What it costs to write one follows the number of changes, not the size of the
+dataset: readers take for each key the rows of the newest layer that changed it. After LAYERS layers, the buckets that they touch are written
+anew and the layers go. Every change ends by replacing the manifest as a whole, so readers see one version, and a change that
+breaks off leaves the old one. Versions that were applied from a stream keep its batch number, so a repeated batch is passed over."""
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keytide.operators import mutate
-from keytide.operators.scans import key_range, key_set
+from keytide.operators.scans import key_ranges, key_set
 from keytide.plans.store import Store
 
-BUCKET = "_bucket"
+BUCKET, LAYER = "_bucket", "_layer"
+LAYERS = 8
 
 
 class Dataset:
@@ -27,69 +33,134 @@ class Dataset:
     def create(cls, spark: SparkSession, root: str, schema: T.StructType, pk: str, span: int = 1_000_000) -> Dataset:
         """An empty dataset."""
         out = cls(spark, root, pk, span)
-        out.store.replace("manifest.json", json.dumps({"version": 0, "span": span, "pk": pk, "schema": schema.json(), "buckets": {}, "batch": -1}))
+        out._put({"version": 0, "span": span, "pk": pk, "schema": schema.json(), "buckets": {}, "layers": [], "order": [pk], "lookup": [], "batch": -1})
         return out
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> Dataset:
+        """The dataset in a folder."""
+        manifest = json.loads(Store(spark, root).read("manifest.json"))
+        return cls(spark, root, manifest["pk"], manifest["span"])
+
     @property
     def manifest(self) -> dict:
         return json.loads(self.store.read("manifest.json"))
 
+    def _put(self, manifest: dict) -> None:
+        self.store.replace("manifest.json", json.dumps(manifest))
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self.manifest["schema"]))
 
-    def _folders(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
-        paths = [f"{self.store.root}/{p}" for b, p in manifest["buckets"].items() if buckets is None or b in buckets]
+    def _parquet(self, schema: T.StructType, folders: list[str]) -> DataFrame:
+        paths = [f"{self.store.root}/{f}" for f in folders]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _keys_of(self, manifest: dict) -> DataFrame | None:
+        """(key, _layer): the newest layer that changed each key; None without layers."""
+        schema = T.StructType([T.StructField(self.pk, T.StructType.fromJson(json.loads(manifest["schema"]))[self.pk].dataType)])
+        parts = [self._parquet(schema, [x["keys"]]).withColumn(LAYER, F.lit(x["version"])) for x in manifest["layers"]]
+        return reduce(DataFrame.union, parts).groupBy(self.pk).agg(F.max(LAYER).alias(LAYER)) if parts else None
+
+    def _rows(self, manifest: dict, buckets: set[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """Rows of all buckets or of some, by the newest layers."""
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+        schema = schema if columns is None else T.StructType([f for f in schema if f.name in columns])
+        rows = self._parquet(schema, [f for b, folders in manifest["buckets"].items() if buckets is None or b in buckets for f in folders])
+        if (changed := self._keys_of(manifest)) is None:
+            return rows
+        inside = F.lit(True) if buckets is None else self._bucket().isin([int(b) for b in buckets])
+        rows = rows.withColumn("_v", F.lit(0))
+        for x in manifest["layers"]:
+            if x["rows"]:
+                rows = rows.union(self._parquet(schema, [x["rows"]]).where(inside).withColumn("_v", F.lit(x["version"])))
+        newest = changed.select(F.col(self.pk).alias("_pk"), LAYER)
+        return rows.join(newest, F.col(self.pk) == F.col("_pk"), "left").where(F.coalesce(LAYER, F.lit(0)) <= F.col("_v")).select(*schema.names)
+
     def read(self) -> DataFrame:
-        return self._folders(self.manifest)
+        return self._rows(self.manifest)
 
     def _bucket(self):
         return F.floor(F.col(self.pk) / F.lit(self.span)).cast("long")
 
-    def _commit(self, rows: DataFrame, manifest: dict, touched: list[str], batch: int | None) -> int:
-        version = manifest["version"] + 1
-        folder = f"v{version}"
+    def _write(self, rows: DataFrame, manifest: dict, folder: str, width: int) -> dict[str, str]:
+        """Writes rows by bucket, in tasks of `width` keys at most; the folder of each bucket."""
         self.store.delete(folder)  # what a broken attempt has left
-        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, self.pk).write.partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
-        buckets = {b: p for b, p in manifest["buckets"].items() if b not in touched}
-        for name in self.store.folders(folder):
-            if name.startswith(f"{BUCKET}="):
-                buckets[name.partition("=")[2]] = f"{folder}/{name}"
-        new = manifest | {"version": version, "buckets": buckets} | ({} if batch is None else {"batch": batch})
-        self.store.replace("manifest.json", json.dumps(new))
+        rows = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET, F.floor(F.col(self.pk) / F.lit(max(1, width))))
+        rows = rows.sortWithinPartitions(BUCKET, *manifest["order"])
+        writer = rows.write.partitionBy(BUCKET)
+        for column in manifest["lookup"]:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.store.root}/{folder}")
+        names = [n for n in self.store.folders(folder) if n.startswith(f"{BUCKET}=")]
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in names}
+
+    def append(self, src: DataFrame, low: int | None = None, high: int | None = None, ranges: Iterable[tuple[int, int]] | None = None, width: int | None = None) -> int:
+        """Source rows, of ranges of keys if given, that aren't there yet, as further folders of their buckets. All ranges are copied at once and come
+        in with one version; rows that are there are only looked up in buckets that reach into the ranges."""
+        ranges = list(ranges) if ranges is not None else [] if low is None else [(low, high)]
+        rows = key_ranges(src, self.pk, ranges) if ranges else src
+        manifest = self.manifest
+        spans = [(a // self.span, b // self.span) for a, b in ranges]
+        old = {b for b in manifest["buckets"] if not spans or any(x <= int(b) <= y for x, y in spans)}
+        rows = mutate.copy_missing(rows, self._rows(manifest, old, [self.pk]), self.pk, target=self.schema) if old or manifest["layers"] else mutate.fitted(rows, self.schema)
+        version = manifest["version"] + 1
+        added = self._write(rows, manifest, f"v{version}", width or self.span)
+        buckets = manifest["buckets"] | {b: [*manifest["buckets"].get(b, []), f] for b, f in added.items()}
+        self._put(manifest | {"version": version, "buckets": buckets})
         return version
 
-    def _touched(self, keys: DataFrame) -> list[str]:
-        """Buckets of the keys: as many as the dataset has at most."""
-        return [str(r[0]) for r in keys.select(self._bucket().alias("b")).distinct().collect()]
-
-    def append(self, src: DataFrame, low: int | None = None, high: int | None = None) -> int:
-        """Source rows, of a range of keys if given, that aren't there yet."""
-        rows = src if low is None else key_range(src, self.pk, low, high)
-        manifest, touched = self.manifest, self._touched(rows)
-        old = self._folders(manifest, touched)
-        return self._commit(old.unionByName(mutate.copy_missing(rows, old, self.pk)), manifest, touched, None)
-
     def apply(self, src: DataFrame, changed: DataFrame, batch: int | None = None) -> int | None:
-        """Brings the changed keys' rows to the source's present state. A batch that was applied before does nothing."""
+        """Brings the changed keys' rows to the source's present state, as a layer. A batch that was applied before does nothing."""
         manifest = self.manifest
         if batch is not None and batch <= manifest["batch"]:
             return None
-        changed = changed.select(self.pk).distinct()
-        touched = self._touched(changed)
-        if not touched:
+        version = manifest["version"] + 1
+        folder = f"v{version}"
+        self.store.delete(folder)
+        changed.select(self.pk).distinct().write.parquet(f"{self.store.root}/{folder}/keys")
+        schema = self.schema
+        keys = self._parquet(T.StructType([schema[self.pk]]), [f"{folder}/keys"])
+        if keys.isEmpty():
+            self.store.delete(folder)
+            if batch is not None:
+                self._put(manifest | {"batch": batch})
+            return manifest["version"]
+        mutate.fitted(key_set(src, keys, self.pk), schema).write.parquet(f"{self.store.root}/{folder}/rows")
+        layer = {"version": version, "keys": f"{folder}/keys", "rows": f"{folder}/rows"}
+        self._put(manifest | {"version": version, "layers": [*manifest["layers"], layer]} | ({} if batch is None else {"batch": batch}))
+        return self.compact() if len(manifest["layers"]) + 1 >= LAYERS else version
+
+    def compact(self) -> int:
+        """Writes the buckets that layers touch anew and lets the layers go."""
+        manifest = self.manifest
+        if (changed := self._keys_of(manifest)) is None:
             return manifest["version"]
-        old = self._folders(manifest, touched)
-        return self._commit(mutate.applied(key_set(src, changed, self.pk), old, changed, self.pk), manifest, touched, batch)
+        touched = {str(r[0]) for r in changed.select(self._bucket().alias("b")).distinct().collect()}  # as many as the dataset has buckets
+        return self._rewrite(manifest, touched)
+
+    def lay_out(self, order: list[str], lookup: list[str]) -> int:
+        """Orders the rows of each bucket by the columns, now and in later versions, and gives the files Bloom filters of the lookup columns."""
+        manifest = self.manifest
+        manifest |= {"order": [*dict.fromkeys([*order, self.pk])], "lookup": [*dict.fromkeys([*manifest["lookup"], *lookup])]}
+        changed = self._keys_of(manifest)
+        more = set() if changed is None else {str(r[0]) for r in changed.select(self._bucket().alias("b")).distinct().collect()}
+        return self._rewrite(manifest, set(manifest["buckets"]) | more)
+
+    def _rewrite(self, manifest: dict, touched: set[str]) -> int:
+        version = manifest["version"] + 1
+        written = self._write(self._rows(manifest, touched), manifest, f"v{version}", self.span)
+        buckets = {b: f for b, f in manifest["buckets"].items() if b not in touched} | {b: [f] for b, f in written.items()}
+        self._put(manifest | {"version": version, "buckets": buckets, "layers": []})
+        return version
 
     def vacuum(self) -> None:
         """Deletes folders that the present version doesn't use."""
-        used = {p.partition("/")[0] for p in self.manifest["buckets"].values()}
+        manifest = self.manifest
+        used = {f.partition("/")[0] for folders in manifest["buckets"].values() for f in folders} | {f"v{x['version']}" for x in manifest["layers"]}
         for name in self.store.folders(""):
-            if name.startswith("v") and name not in used:
+            if re.fullmatch(r"v\d+", name) and name not in used:
                 self.store.delete(name)
 
 

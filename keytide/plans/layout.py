@@ -1,9 +1,8 @@
-"""Layout steps: what indexes are to a database. Parquet has none; rows are ordered, and columns that must be unique are checked."""
+"""Layout steps: what indexes are to a database. Parquet has none; rows are ordered, files have Bloom filters, and columns that must be
+unique are checked. Dataset.lay_out writes a layout; this module has what comes before it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame
 
 from keytide.model import LayoutSpec
@@ -18,22 +17,3 @@ def laid_out(df: DataFrame, spec: LayoutSpec, partitions: int) -> DataFrame:
 def check_unique(df: DataFrame, spec: LayoutSpec) -> None:
     if spec.unique and (found := duplicates(df, *spec.columns).take(3)):
         raise ValueError(f"{spec.name}: {', '.join(spec.columns)} aren't unique: {found}")
-
-
-def steps(specs: tuple[LayoutSpec, ...], done: set[str], at_once: int) -> Iterator[tuple[LayoutSpec, ...]]:
-    """Specs not done yet, so many at once, in order."""
-    todo = [s for s in specs if s.name not in done]
-    for i in range(0, len(todo), at_once):
-        yield tuple(todo[i : i + at_once])
-
-
-def run(df: Callable[[], DataFrame], specs: tuple[LayoutSpec, ...], done: set[str], at_once: int, write: Callable[[DataFrame, LayoutSpec], None], partitions: int = 8) -> set[str]:
-    """Checks and writes the layouts that aren't done; returns the names done."""
-    done = set(done)
-    for group in steps(specs, done, at_once):
-        for spec in group:
-            rows = df()
-            check_unique(rows, spec)
-            write(laid_out(rows, spec, partitions), spec)
-            done.add(spec.name)
-    return done

@@ -47,6 +47,25 @@ class Store:
         options[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
         context.getFileContext(path.toUri(), self._conf).rename(beside, path, options)
 
+    def add(self, folder: str, text: str) -> None:
+        """A further file of a folder, whose names tell their order."""
+        n = len(self._files(folder))
+        self.replace(f"{folder}/{n:09d}-{uuid.uuid4().hex[:8]}", text)
+
+    def _files(self, folder: str) -> list[str]:
+        fs, path = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(".")) if fs.exists(path) else []
+
+    def all(self, folder: str) -> list[str]:
+        """The texts of a folder's files, in the order in which they were added."""
+        return [self.read(f"{folder}/{name}") for name in self._files(folder)]
+
+    def delete_on_exit(self) -> None:
+        """The whole folder goes when the driver ends."""
+        fs, path = self._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
     def delete(self, name: str = "") -> None:
         fs, path = self._at(name)
         fs.delete(path, True)

@@ -33,15 +33,22 @@ def decode(events: DataFrame, pk: str = "pk") -> DataFrame:
     return events.select(F.inline(out), F.col("ts").cast("long").alias("ts"))
 
 
+def segment_number(name: Column) -> Column:
+    """The number behind the last dot of a segment's name."""
+    return F.element_at(F.split(name, r"\."), -1).try_cast("long")
+
+
 def segment_inventory(segments: DataFrame, current: str, position: int) -> DataFrame:
-    """Bytes of log not read yet: segments(name, size) from the current one on, less the position in it."""
-    left = F.coalesce(F.sum(F.when(F.col("name") >= current, F.col("size"))), F.lit(0)) - position
+    """Bytes of log not read yet: segments(name, size) from the current one on by their numbers, less the position in it."""
+    later = segment_number(F.col("name")) >= int(current.rpartition(".")[2])
+    left = F.coalesce(F.sum(F.when(later, F.col("size"))), F.lit(0)) - position
     return segments.agg(F.greatest(F.lit(0), left).cast("long").alias("lag_bytes"))
 
 
-def segment_number(name: Column) -> Column:
-    """The number behind the last dot of a segment's name."""
-    return F.element_at(F.split(name, r"\."), -1).try_cast("long")
+def segment_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, size) of the files of a log folder."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+    return files.where(~F.col("name").startswith("_") & ~F.col("name").startswith("."))
 
 
 def segment_name(base: str, number: Column, digits: int = 6) -> Column:

@@ -16,9 +16,17 @@ from keytide.sources.changelog import read_stream
 
 
 def start(
-    spark: SparkSession, log_folder: str, source: Callable[[], DataFrame], target: Dataset, checkpoint: str, segments_per_round: int = 4, key_log: str | None = None
+    spark: SparkSession,
+    log_folder: str,
+    source: Callable[[], DataFrame],
+    target: Dataset,
+    checkpoint: str,
+    segments_per_round: int = 4,
+    key_log: str | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Applies what is there and ends. With key_log, each batch's compacted log is kept in that folder before it is applied."""
+    """Applies what is there and ends or, given an interval such as "10 seconds", goes on and looks for more that often. With key_log, each batch's
+    compacted log is kept in that folder before it is applied."""
 
     def apply(batch: DataFrame, number: int) -> None:
         log = compact(batch).persist()
@@ -30,4 +38,5 @@ def start(
             log.unpersist()
 
     stream = read_stream(spark, log_folder, segments_per_round)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
