@@ -3,7 +3,7 @@
 A row descends the tree. At each node every child draws -ln(u) / weight, u in (0, 1) from a hash of the row's key and the
 child's name; the smallest draw wins, so a child gets its share of the node's weight. A child's draw depends on its own
 name and weight alone: when weights change, rows only move at nodes on the paths to changed leaves, into a child whose
-weight rose or out of one whose weight fell. `assign` does that for any tree.
+weight rose or out of one whose weight fell. `Tree` does that for any weights.
 
 `shard` takes a number of shards, and one more shard must take rows only into itself, at every number. Shards fill regions of
 racks * per_rack places. A full region draws as above. A region that isn't full yet has places without a shard, and so can't
@@ -14,22 +14,40 @@ shard, which is distributed as its shards' weight asks. A new shard changes noth
 if that place arrives before all others, and then it moves there. The last place to be filled makes the first arrival the region's draw,
 as in full regions.
 
-Edge cases: a null key is a key of its own; null texts count no bytes; equal rows get equal shards and slots of their own;
-an empty table gives an empty result; other columns are dropped; fewer than one shard is refused.
+Draws are numpy arithmetic over batches of keys' hashes: as expressions they were as slow, and so many that compiling them took
+the driver's memory. Edge cases: a null key is a key of its own; null texts count no bytes; equal rows get equal shards and slots of their
+own; an empty table gives an empty result; other columns are dropped; fewer than one shard is refused.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.shared import table
+from keytide.llm import textvec as tv
+from keytide.llm.shared import saved, ship, table
 
 SHARDS, PER_RACK, RACKS = 40, 5, 2
 #: Rows of a shard that are numbered in one task, on average.
 SLOT_ROWS = 200_000
+#: Keys whose draws are made at once.
+AT_ONCE = 1 << 16
+
+
+def waits(h: np.ndarray, level: int, name: np.ndarray | int) -> np.ndarray:
+    """-ln(u) for hashes of keys and the names of children on a level, u in (0, 1)."""
+    names = np.broadcast_to(np.asarray(name), h.shape).astype(np.uint64)
+    x = tv.mix(h ^ tv.mix((names | np.uint64(level << 40)) * np.uint64(tv.BASE)))
+    return -np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53))
+
+
+def _next(h: np.ndarray, level: int, first: np.ndarray, n: int) -> np.ndarray:
+    """The winner of the children first, first + 1, ... of equal weight."""
+    return first + np.stack([waits(h, level, first + i) for i in range(n)]).argmin(axis=0)
 
 
 @dataclass(frozen=True)
@@ -45,71 +63,72 @@ class Tree:
                 out[leaf[level]] = out.get(leaf[level], 0.0) + leaf[3]
         return out
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The shard of each hash."""
+        at = np.zeros(len(h), np.int64)
+        for level in range(3):
+            new = np.zeros(len(h), np.int64)
+            for parent in [None] if level == 0 else np.unique(at).tolist():
+                rows = np.arange(len(h)) if parent is None else np.flatnonzero(at == parent)
+                names, weights = zip(*sorted(self.children(level, parent).items()), strict=True)
+                draws = np.stack([waits(h[rows], level, name) / weight for name, weight in zip(names, weights, strict=True)])
+                new[rows] = np.array(names)[draws.argmin(axis=0)]
+            at = new
+        return at
+
+
+@dataclass(frozen=True)
+class Shards:
+    """So many shards of equal weight; with one more, rows only move into the new one."""
+
+    n: int
+    per_rack: int = PER_RACK
+    racks: int = RACKS
+
+    def __post_init__(self) -> None:
+        if self.n < 1:
+            raise ValueError("there must be a shard")
+
+    def _first_place(self, h: np.ndarray, region: np.ndarray) -> np.ndarray:
+        rack = _next(h, 1, region * self.racks, self.racks)
+        return _next(h, 2, rack * self.per_rack, self.per_rack)
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The shard of each hash."""
+        places = self.per_rack * self.racks
+        full, open_ = divmod(self.n, places)
+        time, region = np.full(len(h), np.inf), np.zeros(len(h), np.int64)
+        for g in range(full):
+            draw = waits(h, 0, g) / places
+            region[draw < time] = g
+            time = np.minimum(draw, time)
+        out = self._first_place(h, region)
+        if open_:
+            # the open region: its first place leads where the descent does, the others follow by rank; the first that has a shard is taken
+            begin = full * places
+            first = self._first_place(h, np.full(len(h), full))
+            ranks = np.stack([waits(h, 3, begin + i) for i in range(places)])
+            ranks[first - begin, np.arange(len(h))] = -1
+            there = ranks[:open_].argmin(axis=0)
+            turn = (ranks < ranks[there, np.arange(len(h))]).sum(axis=0)
+            # the wait before the first place is that of a full region, so that the last place to be filled changes no draw
+            steps = [waits(h, 0, full) / places] + [waits(h, 4, begin + i) / (places - i) for i in range(1, places)]
+            arrived = np.cumsum(np.stack(steps), axis=0)[turn, np.arange(len(h))]
+            out = np.where(arrived < time, begin + there, out)
+        return out
+
+
+def assign(df: DataFrame, tree: Tree | Shards, key: Column, out: str = "shard") -> DataFrame:
+    """df with the shard of each row."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf("int")
+    def place(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        parts = [tree.place(h[i : i + AT_ONCE]) for i in range(0, len(h), AT_ONCE)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int32())
 
-def _wait(key: Column, *names: Column) -> Column:
-    """-ln(u), u in (0, 1) from a hash of the names and the key."""
-    return -F.log((F.shiftrightunsigned(F.xxhash64(*names, key), 11) + F.lit(0.5)) / F.lit(float(1 << 53)))
-
-
-def _draws(key: Column, level: int, children: Column) -> Column:
-    """(draw, name) of an array of (name, weight)."""
-    return F.transform(children, lambda child: F.struct((_wait(key, F.lit(level), child["name"]) / child["weight"]).alias("d"), child["name"].alias("c")))
-
-
-def _winner(key: Column, level: int, children: Column) -> Column:
-    """The child with the smallest draw of an array of (name, weight)."""
-    return F.array_min(_draws(key, level, children))["c"]
-
-
-def _next(key: Column, level: int, first: Column, n: int) -> Column:
-    """The winner of the children first, first + 1, ... of equal weight: written out, as their number is fixed, so that it compiles."""
-    return F.array_min(F.array(*(F.struct(_wait(key, F.lit(level), first + i).alias("d"), (first + i).alias("c")) for i in range(n))))["c"]
-
-
-def placed(df: DataFrame, shards: int, key: Column, out: str = "shard", per_rack: int = PER_RACK, racks: int = RACKS) -> DataFrame:
-    """df with the shard of each row among so many; with one more, rows only move into the new one."""
-    if shards < 1:
-        raise ValueError("there must be a shard")
-    places = per_rack * racks
-    full, open_ = divmod(shards, places)
-
-    def first_place(df: DataFrame, region: Column) -> DataFrame:
-        df = df.withColumn("_rack", _next(key, 1, region * racks, racks))
-        return df.withColumn("_place", _next(key, 2, F.col("_rack") * per_rack, per_rack))
-
-    made = ["_best", "_rack", "_place", "_ranks", "_win", "_turn", "_time", "_there"]
-    if full:
-        waits = [F.struct((_wait(key, F.lit(0), F.lit(g)) / places).alias("d"), F.lit(g).alias("c")) for g in range(full)]
-        df = df.withColumn("_best", F.array_min(F.array(*waits)))
-    if open_:
-        # the open region: its first place leads where the descent does, the others follow by rank; the first that has a shard is taken
-        begin = full * places
-        df = first_place(df, F.lit(full))
-        ranks = F.transform(F.lit(list(range(begin, begin + places))), lambda i: F.struct(_wait(key, F.lit(3), i).alias("r"), i.alias("s")))
-        df = df.withColumn("_ranks", ranks).withColumn("_win", F.array_min(F.slice("_ranks", 1, open_)))
-        has, own = F.col("_place") < begin + open_, F.element_at("_ranks", F.col("_place") - (begin - 1))
-        turn = F.array_position(F.array_sort("_ranks"), F.col("_win")) - F.when(own < F.col("_win"), 1).otherwise(0)
-        df = df.withColumn("_turn", F.when(has, 0).otherwise(turn)).withColumn("_there", F.when(has, F.col("_place")).otherwise(F.col("_win.s")))
-        if not full:
-            return df.withColumn(out, F.col("_there")).drop(*made)
-        # the wait before the first place is that of a full region, so that the last place to be filled changes no draw
-        first = _wait(key, F.lit(0), F.lit(full)) / places
-        later = lambda i: _wait(key, F.lit(4), F.lit(full), i) / (places - i)
-        time = F.aggregate(F.slice(F.lit(list(range(1, places))), F.lit(1), F.col("_turn").cast("int")), first, lambda a, i: a + later(i))
-        df = df.withColumn("_time", time)
-    df = first_place(df, F.col("_best.c"))
-    return df.withColumn(out, F.when(F.col("_time") < F.col("_best.d"), F.col("_there")).otherwise(F.col("_place")) if open_ else F.col("_place")).drop(*made)
-
-
-def assign(df: DataFrame, tree: Tree, key: Column, out: str = "shard") -> DataFrame:
-    """df with the shard of each row. The tree is a constant of the plan: for each level a map from nodes to children."""
-    names = ["_region", "_rack", out]
-    for level, name in enumerate(names):
-        parents = [None] if level == 0 else sorted({leaf[level - 1] for leaf in tree.leaves if leaf[3] > 0})
-        listed = [F.array(*(F.struct(F.lit(c).alias("name"), F.lit(w).alias("weight")) for c, w in sorted(tree.children(level, p).items()))) for p in parents]
-        children = listed[0] if level == 0 else F.create_map(*(x for p, c in zip(parents, listed, strict=True) for x in (F.lit(p), c)))[F.col(names[level - 1])]
-        df = df.withColumn(name, _winner(key, level, children))
-    return df.drop("_region", "_rack")
+    return df.withColumn(out, place(F.xxhash64(key)))
 
 
 def numbered(df: DataFrame, by: str, key: str, buckets: int) -> DataFrame:
@@ -134,8 +153,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, slot_rows: int = SLOT_ROWS) ->
     rows = docs.select(
         "doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    rows = placed(placed(rows, shards, F.col("doc_id")), shards + 1, F.col("doc_id"), "grown_shard")
-    buckets = max(8, -(-docs.count() // (shards * slot_rows)))
+    rows = assign(assign(rows, Shards(shards), F.col("doc_id")), Shards(shards + 1), F.col("doc_id"), "grown_shard")
+    rows = saved(rows, "shards")  # some 30 bytes a row, so that draws and check sums are made once and not for each pass
+    buckets = max(8, -(-rows.count() // (shards * slot_rows)))
     return numbered(rows, "shard", "doc_id", buckets).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
