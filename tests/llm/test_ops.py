@@ -410,14 +410,17 @@ def test_links_lose_none_whatever_counts_as_hot(spark, monkeypatch, hot):
 # op6
 
 
-def wait(key, *names):
-    """-ln(u) of the chained hashes of ints and a long."""
-    h = 42
-    for x in names:
-        h = xxhash.xxh64_intdigest(int(x).to_bytes(4, "little", signed=True), h)
-    if key is not None:
-        h = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), h)
-    return -math.log(((h >> 11) + 0.5) / (1 << 53))
+def wait(key, level, name):
+    """-ln(u) of the mixed hashes of a key and a name."""
+
+    def mix(x):
+        for by, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> by) * k % (1 << 64)
+        return x ^ x >> 31
+
+    h = 42 if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+    x = mix(h ^ mix((name | level << 40) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return -math.log(((x >> 11) + 0.5) / (1 << 53))
 
 
 def placed(key, shards, per_rack=5, racks=2):
@@ -433,7 +436,7 @@ def placed(key, shards, per_rack=5, racks=2):
         if order[0] >= shards:
             order += sorted((s for s in range(region * places, (region + 1) * places) if s != order[0]), key=lambda s: wait(key, 3, s))
         for turn, place in enumerate(order):
-            time += wait(key, 4, region, turn) / (places - turn) if turn else 0
+            time += wait(key, 4, region * places + turn) / (places - turn) if turn else 0
             if place < shards:
                 arrivals.append((time, place))
                 break
@@ -444,25 +447,22 @@ def test_draws_by_brute_force(spark):
     keys = [*range(60), -5, 1 << 40, None]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     for n in (1, 7, 10, 11, 38, 40, 41, 45):
-        got = [r.shard for r in sharding.placed(df, n, F.col("k")).collect()]
+        got = [r.shard for r in sharding.assign(df, sharding.Shards(n), F.col("k")).collect()]
         assert got == [placed(k, n) for k in keys]
     with pytest.raises(ValueError):
-        sharding.placed(df, 0, F.col("k"))
-
-
-def test_one_more_shard_takes_rows_only_into_itself(spark):
-    key, most = F.col("id"), 60
-    df = spark.range(6000)
-    for low in range(1, most, 20):
-        part = df
-        for n in range(low, low + 21):
-            part = sharding.placed(part, n, key, f"s{n}")
-        rows = part.toPandas()
-        for n in range(low, low + 20):
-            old, new = rows[f"s{n}"], rows[f"s{n + 1}"]
-            assert ((old == new) | (new == n)).all() and (new < n + 1).all()
-            share = new.value_counts(normalize=True)
-            assert len(share) == n + 1 and abs(share - 1 / (n + 1)).max() < 6 * math.sqrt(1 / (n + 1) / 6000)
+        sharding.Shards(0)
+
+
+@pytest.mark.parametrize("shape", [(5, 2), (1, 3), (4, 1)])
+def test_one_more_shard_takes_rows_only_into_itself(shape):
+    h = np.random.default_rng(1).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    old = sharding.Shards(1, *shape).place(h)
+    for n in range(1, 61):
+        new = sharding.Shards(n + 1, *shape).place(h)
+        assert ((old == new) | (new == n)).all()
+        share = np.bincount(new, minlength=n + 1) / len(h)
+        assert len(share) == n + 1 and abs(share - 1 / (n + 1)).max() < 6 * math.sqrt(1 / (n + 1) / len(h))
+        old = new
 
 
 def test_shards(spark, sf, messy, ids, none):
