@@ -749,6 +749,51 @@ def test_mix_by_budget_entropy_and_repeats(sources, monkeypatch, how, many):
     assert most <= how.get("repeats", 100)
 
 
+def chained(*values):
+    """Spark's xxhash64 of ints (i, 4), longs (i, 8) and strings, as a signed long."""
+    h = 42
+    for x in values:
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x[0].to_bytes(x[1], "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mixed_by_hand(rows, a, budget, block_rows):
+    """(doc_id, epoch, block rank, own rank) of every time that a row of (doc_id, text, source) comes, source by source and row by row."""
+    by = collections.defaultdict(list)
+    for i, text, source in rows:
+        by["s" + source].append((i, len(text.split()), chained((mixing.SEED, 4), (i, 8), text)))
+    tokens = {s: sum(n for _, n, _ in own) for s, own in by.items()}
+    every = sum(tokens.values())
+    p = {s: (n / every) ** a for s, n in tokens.items()}
+    scale = max(tokens[s] / p[s] for s in by) if budget is None else budget / sum(p.values())
+    out = []
+    for s, own in by.items():
+        times, blocks = p[s] * scale / tokens[s], -(-len(own) // block_rows)
+        passes = math.floor(times + 1e-9)
+        for epoch in range(passes + 1):
+            rank = lambda key: chained((mixing.SEED, 4), "block", (epoch, 8), s, (key % blocks, 8))  # noqa: B023, E731
+            place = lambda key: chained((mixing.SEED, 4), "row", (epoch, 8), (key, 8))  # noqa: B023, E731
+            left = max(0.0, times - passes) * tokens[s] if epoch == passes else math.inf
+            for i, n, key in sorted(own, key=lambda x: (rank(x[2]), place(x[2]))):
+                if n / 2 > left:
+                    break
+                left -= n
+                out.append((i, epoch, rank(key), place(key)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("how", "block_rows"), [({"budget": 8000.0, "repeats": 3.0}, 50), ({"budget": 30_000.0, "repeats": 9.0}, 7), ({"repeats": 5.0}, 50), ({"repeats": 2.0}, 4096), ({"entropy": 1.2}, 20)])
+def test_mix_by_brute_force(spark, sources, monkeypatch, how, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = [tuple(r) for r in sources.collect()]
+    tokens = collections.Counter()
+    for _, text, source in rows:
+        tokens[source] += len(text.split())
+    a = mixing.exponent(totals(spark, list(tokens.values())), how.get("repeats", mixing.REPEATS), how.get("entropy"), how.get("budget"))
+    got = sorted((r.doc_id, r._kt_epoch, r._kt_rank, r._kt_own) for r in mixing.mixed(sources, **how).collect())
+    assert got == mixed_by_hand(rows, a, how.get("budget"), block_rows)
+
+
 def test_mix_edge_cases(messy, none):
     rows = mixing.mixed(messy)
     assert set(messy.columns) <= set(rows.columns)
