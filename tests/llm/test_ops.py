@@ -202,70 +202,98 @@ def test_line_dedup_matches_sql(spark, sf):
 # op3
 
 
-def kneser_ney(texts, train):
+def kneser_ney(texts, train, order=2):
     text = [tok(t) + ["</s>"] for t in texts]
-    c, bi = collections.Counter(), collections.Counter()
-    for w, use in zip(text, train, strict=True):
+    padded = [["</s>"] * (order - 1) + w for w in text]
+    unigrams = collections.Counter()
+    counts = {order: collections.Counter()}  # of n-grams by length; below the longest, the numbers of distinct words before
+    for w, x, use in zip(text, padded, train, strict=True):
         if use:
-            c.update(w)
-            bi.update(zip(["</s>", *w], w, strict=False))
-    n, v = sum(c.values()), len(c)
+            unigrams.update(w)
+            counts[order].update(tuple(x[i : i + order]) for i in range(len(w)))
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    total, v = sum(unigrams.values()), len(unigrams)
 
     def discounts(x):
         k = [sum(y == i for y in x.values()) for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
         return [0] + [min(i, max(0, i - (i + 1) * y * k[i] / k[i - 1])) if k[i - 1] else min(i, y) for i in (1, 2, 3)]
 
-    before = collections.Counter(b for _, b in bi)
-    d, e, kinds = discounts(bi), discounts(before), len(bi)
+    d = {n: discounts(x) for n, x in counts.items()}
     after, lost = collections.Counter(), collections.Counter()
-    for (a, _), k in bi.items():
-        after[a] += k
-        lost[a] += d[min(k, 3)]
-    left = sum(e[min(k, 3)] for k in before.values())
-
-    def p(a, b):
-        q = max(0, before[b] - e[min(before[b], 3)]) / max(1, kinds) + (left / kinds if kinds else 1) / (v + 1)
-        return max(0, bi[a, b] - d[min(bi[a, b], 3)]) / after[a] + lost[a] / after[a] * q if after[a] else q
+    for n, x in counts.items():
+        for g, k in x.items():
+            after[g[:-1]] += k
+            lost[g[:-1]] += d[n][min(k, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        k, h = counts[len(g)][g], g[:-1]
+        rest = p(g[1:])
+        return max(0, k - d[len(g)][min(k, 3)]) / after[h] + lost[h] / after[h] * rest if after[h] else rest
 
     return [
-        (len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(a, b)) for a, b in zip(["</s>", *w], w, strict=False)))
-        for w in text
+        (len(w), sum(unigrams[x] > 0 for x in w), total, sum(math.log10((unigrams[x] + 0.5) / (total + 0.5 * (v + 1))) for x in w), sum(math.log10(p(tuple(x[i : i + order]))) for i in range(len(w))))
+        for w, x in zip(text, padded, strict=True)
     ]
 
 
-def check_model(df, learn):
-    model = langmodel.train(df, learn)
+def check_model(df, learn, order=2):
+    model = langmodel.train(df, learn, order)
     rows = langmodel.scored(df.withColumn("_learn", F.coalesce(learn, F.lit(False))), model).collect()
-    for r, want in zip(rows, kneser_ney([r.text for r in rows], [r._learn for r in rows]), strict=True):
+    for r, want in zip(rows, kneser_ney([r.text for r in rows], [r._learn for r in rows], order), strict=True):
         got = r._kt_lm
         assert (got.n_tokens, got.n_known, model.tokens) == want[:3]
         assert (got.base_score, got.score) == pytest.approx(want[3:], rel=1e-9)
     return rows
 
 
-def test_kneser_ney_is_exact(spark, sf):
-    check_model(docs(spark, sf), quality.fold("doc_id", 5) != 1)
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_is_exact(spark, sf, order):
+    check_model(docs(spark, sf), quality.fold("doc_id", 5) != 1, order)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_edge_cases(messy, ids, none, order):
+    assert len(check_model(messy, F.lit(True), order)) == len(ids)
+    check_model(messy, F.lit(False), order)  # nothing to learn from
+    assert check_model(none, F.lit(True), order) == []
+    with pytest.raises(ValueError):
+        langmodel.train(none, F.lit(True), 1)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_ranges_of_buckets_first(spark, monkeypatch, order):
+    monkeypatch.setattr(langmodel, "FAN", 3)  # on the driver, where stages are laid out
+    words = np.random.default_rng(4).zipf(1.4, 3000) % 200
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in words[i * 20 : i * 20 + 20])) for i in range(150)] + [(999, "very frequent " * 400)], "doc_id bigint, text string")
+    check_model(df, F.col("doc_id") % 3 != 0, order)
 
 
-def test_kneser_ney_edge_cases(messy, ids, none):
-    assert len(check_model(messy, F.lit(True))) == len(ids)
-    check_model(messy, F.lit(False))  # nothing to learn from
-    assert check_model(none, F.lit(True)) == []
+def test_a_folder_that_workers_cannot_open_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langmodel, "scratch", lambda *_: "s3a://bucket/folder")
+    with pytest.raises(ValueError, match="pyarrow"):
+        langmodel.model_folder(spark)
 
 
 def test_packed_counts_come_back():
     rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 5, 5000).astype(np.uint64), rng.integers(0, 9, 5000).astype(np.uint64)
+    ctx, w = rng.integers(0, 5, (2, 5000)).astype(np.uint64), rng.integers(0, 9, 5000).astype(np.uint64)
+    ctx[1] = ctx[0] % 2  # shorter contexts follow from longer ones
     got = collections.Counter()
-    for _, blob in langmodel.bigram_rows(a, b, 7):
-        for x, y, n in zip(*map(np.ndarray.tolist, langmodel.bigrams_from(blob)), strict=True):
-            got[x, y] += n
-    assert got == collections.Counter(zip(a.tolist(), b.tolist(), strict=True))
+    for _, kind, blob in langmodel.gram_rows(ctx, w, np.full((2, 5000), [[1], [3]]), 7):
+        assert kind == langmodel.GRAMS
+        c, x, n = langmodel.grams_from(blob)
+        for a, b, y, k, more in zip(*c.tolist(), x.tolist(), *n.tolist(), strict=True):
+            assert b == a % 2 and more == 3 * k
+            got[a, y] += k
+    assert got == collections.Counter(zip(ctx[0].tolist(), w.tolist(), strict=True))
     words = np.sort(np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)))
     sums = rng.integers(0, 600, (6, len(words)))
-    back = [langmodel.words_from(blob) for _, blob in langmodel.word_rows(words, sums, 3)]
-    assert np.array_equal(np.concatenate([x[0] for x in back]), words) and np.array_equal(np.concatenate([x[1] for x in back], axis=1), sums)
+    back = [langmodel.unpack(blob) for _, _, blob in langmodel.key_rows(words, sums, 3)]
+    assert np.array_equal(np.concatenate([x[0][0] for x in back]), words) and np.array_equal(np.concatenate([np.stack(x[1]) for x in back], axis=1), sums)
 
 
 # op4
