@@ -24,6 +24,7 @@ from keytide.plans import layout, monitor
 from keytide.plans.dataset import Dataset, Names
 from keytide.plans.operation import Operation, operation
 from keytide.plans.store import Store
+from keytide.sources import changelog
 from keytide.sources.tables import check_key
 
 DEBT = "pk bigint, unmatch_type string"
@@ -42,11 +43,13 @@ class Migration:
         span: int = 1_000_000,
         clock: Callable[[], datetime] = lambda: datetime.now(UTC),
         host: monitor.HostMetrics | None = None,
+        segments: Callable[[], tuple[DataFrame, str, int]] | None = None,
     ) -> None:
         """source gives the source's present rows; if it takes an argument, that is the name that the source has at the time. log gives the
-        change log(op, pk, ts) as far as it goes. host tells how busy the writer is."""
+        change log(op, pk, ts) as far as it goes. host tells how busy the writer is. segments gives the log's segments(name, size), the present one
+        and the position in it, for the gauge of bytes that are left."""
         self.spark, self.root, self.pk, self.config, self._log, self.clock = spark, root.rstrip("/"), pk, config or Config(), log, clock
-        self._source, self.store, self.host = source, Store(spark, root), host or monitor.TaskMetrics(spark)
+        self._source, self._segments, self.store, self.host = source, segments, Store(spark, root), host or monitor.TaskMetrics(spark)
         self._named = bool(inspect.signature(source).parameters)
         self.names = Names(spark, root)
         self.operation: Operation = operation(self.config.operation, self.config.operation_settings)
@@ -107,12 +110,18 @@ class Migration:
         return self.spark.createDataFrame(rows, "name string, columns string, unique boolean, started_at double, ended_at double")
 
     def gauges(self) -> DataFrame:
-        """(name, value) of what is known of the copy's progress."""
+        """(name, value) of what is known of the copy's progress; without a handler of the log, of the bulk copy alone. Times count from the first entry of the log."""
         s = self.state
-        values: dict = {"batch_size": s["batch"], "threads": s["threads"], "insert_rate": s["rate"], "unmatched_rows": s["n_debt"]}
+        values: dict = {"batch_size": s["batch"], "threads": s["threads"], "insert_rate": s["rate"]}
         if s["chunks"]:
             values["bulk_progress"] = chunks.progress(self.chunk_table(s), max(c["end_pk"] for c in s["chunks"]) or 1)
-        if self._log and not self.config.disable_handler:
+        if self.config.disable_handler:
+            return monitor.metrics(self.spark, **values)
+        values |= {"unmatched_rows": s["n_debt"], "open_layouts": len(self._layouts_left(s))}
+        if self._segments:
+            caught_up = s["caught_up_at"] is not None and self._now() - s["caught_up_at"] <= 2
+            values["remaining_log_bytes"] = 0 if caught_up else changelog.segment_inventory(*self._segments())
+        if self._log:
             log = self.key_log()
             low, high = keylog.bounds(log).first()
             if low is not None:

@@ -311,7 +311,12 @@ def test_whole_copy_swaps(spark, copy):
     assert done.layout_table().where("ended_at is null").isEmpty() and done.chunk_table().where("status <> 'done'").isEmpty()
     gauges = {r.name: r.value for r in done.gauges().collect()}
     assert gauges["unmatched_rows"] == 0 and gauges["last_loaded_timestamp"] == gauges["last_event_timestamp"] == 1 and gauges["updated_keys"] == gauges["removed_keys"] == 0
-    assert gauges["bulk_progress"] > 90 and gauges["insert_rate"] > 0
+    assert gauges["bulk_progress"] > 90 and gauges["insert_rate"] > 0 and gauges["open_layouts"] == 0
+    sizes = spark.createDataFrame([("log.000001", 10), ("log.000002", 30)], "name string, size bigint")
+    done._segments = lambda: (sizes, "log.000002", 4)
+    assert {r.name: r.value for r in done.gauges().collect()}["remaining_log_bytes"] == 0
+    copy.now = copy.now.replace(hour=13)
+    assert {r.name: r.value for r in done.gauges().collect()}["remaining_log_bytes"] == 26
 
 
 def test_keys_that_never_match_keep_the_names_from_being_swapped(spark, copy):
