@@ -272,6 +272,16 @@ def test_ranges_of_buckets_first(spark, monkeypatch, order):
     check_model(df, F.col("doc_id") % 3 != 0, order)
 
 
+def test_a_store_without_paths_is_copied(spark, sf):
+    df = docs(spark, sf)
+    model = langmodel.train(df, F.lit(True))
+    near, far = langmodel.Maps(model), langmodel.Maps(model)
+    far.fs = langmodel.pafs.SubTreeFileSystem("/", langmodel.pafs.LocalFileSystem())
+    h = np.append(near._map("1-0")[0], np.arange(5, dtype=np.uint64))
+    assert np.array_equal(near.look_up(1, h), far.look_up(1, h)) and far._map("1-999") is None
+    assert langmodel.opened(model) is langmodel.opened(model)
+
+
 def test_a_folder_that_workers_cannot_open_is_refused(spark, monkeypatch):
     monkeypatch.setattr(langmodel, "scratch", lambda *_: "s3a://bucket/folder")
     with pytest.raises(ValueError, match="pyarrow"):
