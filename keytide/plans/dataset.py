@@ -2,8 +2,8 @@
 
 Rows lie in buckets of `span` keys; a manifest names the folders of each bucket. Copies add folders to buckets. Changes add a layer: the
 changed keys, and the rows that these have now. What it costs to write one follows the number of changes, not the size of the
-dataset: readers take for each key the rows of the newest layer that changed it. After LAYERS layers, the buckets that they touch are written
-anew and the layers go. Every change ends by replacing the manifest as a whole, so readers see one version, and a change that
+dataset: readers take for each key the rows of the newest layer that changed it. After LAYERS layers or LAYER_KEYS keys, the buckets that they
+touch are written anew and the layers go. Every change ends by replacing the manifest as a whole, so readers see one version, and a change that
 breaks off leaves the old one. Versions that were applied from a stream keep its batch number, so a repeated batch is passed over."""
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from keytide.operators.scans import key_ranges, key_set
 from keytide.plans.store import Store
 
 BUCKET, LAYER = "_bucket", "_layer"
-LAYERS = 8
+#: Layers, and keys in them, beyond which the buckets that they touch are written anew; so many keys are broadcast to readers (16 bytes each).
+LAYERS, LAYER_KEYS = 8, 2_000_000
 
 
 class Dataset:
@@ -76,6 +77,8 @@ class Dataset:
             if x["rows"]:
                 rows = rows.union(self._parquet(schema, [x["rows"]]).where(inside).withColumn("_v", F.lit(x["version"])))
         newest = changed.select(F.col(self.pk).alias("_pk"), LAYER)
+        if sum(x["n"] for x in manifest["layers"]) <= LAYER_KEYS:  # so the rows stay where they are
+            newest = F.broadcast(newest)
         return rows.join(newest, F.col(self.pk) == F.col("_pk"), "left").where(F.coalesce(LAYER, F.lit(0)) <= F.col("_v")).select(*schema.names)
 
     def read(self) -> DataFrame:
@@ -122,15 +125,15 @@ class Dataset:
         changed.select(self.pk).distinct().write.parquet(f"{self.store.root}/{folder}/keys")
         schema = self.schema
         keys = self._parquet(T.StructType([schema[self.pk]]), [f"{folder}/keys"])
-        if keys.isEmpty():
+        if not (n := keys.count()):
             self.store.delete(folder)
             if batch is not None:
                 self._put(manifest | {"batch": batch})
             return manifest["version"]
         mutate.fitted(key_set(src, keys, self.pk), schema).write.parquet(f"{self.store.root}/{folder}/rows")
-        layer = {"version": version, "keys": f"{folder}/keys", "rows": f"{folder}/rows"}
-        self._put(manifest | {"version": version, "layers": [*manifest["layers"], layer]} | ({} if batch is None else {"batch": batch}))
-        return self.compact() if len(manifest["layers"]) + 1 >= LAYERS else version
+        layers = [*manifest["layers"], {"version": version, "keys": f"{folder}/keys", "rows": f"{folder}/rows", "n": n}]
+        self._put(manifest | {"version": version, "layers": layers} | ({} if batch is None else {"batch": batch}))
+        return self.compact() if len(layers) >= LAYERS or sum(x["n"] for x in layers) > LAYER_KEYS else version
 
     def compact(self) -> int:
         """Writes the buckets that layers touch anew and lets the layers go."""

@@ -120,9 +120,10 @@ def test_ranges_are_copied_at_once_and_change_no_folder(spark, tmp_path):
     assert all(data.manifest["buckets"][b][: len(f)] == f for b, f in before.items())
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_layers_read_as_the_newest_rows(spark, tmp_path, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "most"), [(3, 2_000_000), (4, 16)])
+def test_layers_read_as_the_newest_rows(spark, tmp_path, monkeypatch, seed, most):
     monkeypatch.setattr(dataset, "LAYERS", 4)
+    monkeypatch.setattr(dataset, "LAYER_KEYS", most)
     r = random.Random(seed)
     state = {i: (i, f"a{i}", None) for i in range(40)}
     data = Dataset.create(spark, f"file://{tmp_path}/d", frame(spark, []).schema, "id", span=16)
