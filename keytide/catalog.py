@@ -459,7 +459,8 @@ def stream_apply(s, d):
 
 def _migration(s, d, source=None, log=None, **settings) -> Migration:
     config = Config(**{"min_chunk_size": 5000, "max_chunk_count": 30, "auto_swap": True, "preferred_window": ("00:00", "23:59"), "pending_max": 1_000_000, **settings})
-    return Migration(s, _work(s), source or (lambda: _src(s, d)), _src(s, d).schema, PK, config, log or (lambda: fixtures.change_log(s, d)), span=50_000)
+    src, changes = _src(s, d), fixtures.change_log(s, d)
+    return Migration(s, _work(s), source or (lambda: src), src.schema, PK, config, log or (lambda: changes), span=50_000)
 
 
 @query(f"SELECT {WHOLE} FROM src")

@@ -240,18 +240,19 @@ class Migration:
         if self._log is None:
             state["caught_up_at"] = self._now()
             return True
-        log = self.key_log()
-        windows = keylog.windows(log, self.config.pending_max, state["width"], state["loaded"])
-        if windows:
-            state["width"] = windows[-1][1] - windows[-1][0]
-            for start, end in keylog.batches(log, windows, self.config.pending_max):
-                changed = keylog.window(log, start, end)
-                self.operation.apply(self.target(), self.source(), changed.select(F.col("pk").alias(self.pk)))
-                state["loaded"] = changed.agg(F.max("ts")).first()[0]
-                self._save(state)
-                self._note("loaded", start=start, end=end, mark=state["loaded"])
         last = self.last_event()
-        if last is None or state["loaded"] == last:
+        if last is not None and state["loaded"] != last:
+            log = self.key_log()
+            windows = keylog.windows(log, self.config.pending_max, state["width"], state["loaded"])
+            if windows:
+                state["width"] = windows[-1][1] - windows[-1][0]
+                for start, end in keylog.batches(log, windows, self.config.pending_max):
+                    changed = keylog.window(log, start, end)
+                    self.operation.apply(self.target(), self.source(), changed.select(F.col("pk").alias(self.pk)))
+                    state["loaded"] = changed.agg(F.max("ts")).first()[0]
+                    self._save(state)
+                    self._note("loaded", start=start, end=end, mark=state["loaded"])
+        if last is None or (state["loaded"] or 0) >= last:
             state["caught_up_at"] = self._now()
             return True
         return False
@@ -262,8 +263,8 @@ class Migration:
         return 0 if last is None or state["loaded"] == last else last - (state["loaded"] or 0)
 
     def _apply(self, state: dict) -> Stage:
-        self.catch_up(state)
-        return Stage.PRE_VALIDATION if not self.config.disable_apply and self.lag(state) < self.config.lag_seconds else Stage.APPLY
+        near = self.catch_up(state) or (not self.config.disable_apply and self.lag(state) < self.config.lag_seconds)
+        return Stage.PRE_VALIDATION if near else Stage.APPLY
 
     def _pre_validate(self, state: dict) -> Stage:
         if not self.catch_up(state):
@@ -304,10 +305,10 @@ class Migration:
         rows = self.spark.read.schema(DEBT).parquet(f"{self.root}/{state['debt']}") if state["debt"] else self.spark.createDataFrame([], DEBT)
         return rows.withColumnRenamed("pk", self.pk)
 
-    def validate(self, state: dict, full: bool = False) -> bool:
+    def validate(self, state: dict, full: bool = False, last: int | None = None) -> bool:
         """Checks the log from the last mark on, or all of it, and what is owed from before; keys that don't match are applied again and checked
-        once more. Those that still don't are the new debt. Valid if there is none."""
-        last = self.last_event()
+        once more. Those that still don't are the new debt. Valid if there is none. last is the end of the log, if it is known."""
+        last = self.last_event() if last is None else last
         found = self.unmatched(None if full else state["validated"]).union(self.debt(state).select(self.pk, "unmatch_type")).distinct()
         name, owed = f"debt/{uuid.uuid4().hex}", 0
         put = lambda rows, at: rows.select(F.col(self.pk).cast("long").alias("pk"), "unmatch_type").write.parquet(f"{self.root}/{at}")
@@ -335,10 +336,10 @@ class Migration:
         if not self.catch_up(state):
             return Stage.VALIDATION
         if self._full_due(state):
-            self.validate(state, full=True)
+            self.validate(state, full=True, last=state["loaded"])
             state["full_validated_at"] = self._now()
             return Stage.VALIDATION
-        valid = self.validate(state)
+        valid = self.validate(state, last=state["loaded"])
         now = self.clock().strftime("%H:%M")
         return Stage.SWAP if valid and self.config.auto_swap and in_window(now, *self.config.preferred_window) else Stage.VALIDATION
 
@@ -359,7 +360,7 @@ class Migration:
         final = self.operation.max_pk(self.source(), self.pk).first()[0]
         for turn in range(self.config.swap_tries):
             began = time.monotonic()
-            valid = self.catch_up(state) and self.validate(state)
+            valid = self.catch_up(state) and self.validate(state, last=state["loaded"])
             took = time.monotonic() - began
             self._note("swaps", turn=turn, valid=valid, seconds=took)
             if valid and took <= self.config.swap_seconds:
