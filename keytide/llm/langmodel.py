@@ -76,9 +76,11 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(t: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """For each token but the first boundary, the hashes of the order - 1, ..., 2, 1 words before it; beyond the text's begin are boundaries."""
-    at = np.arange(1, len(t))
-    inside = at - place[np.searchsorted(place, at, "left") - 1]
-    before = [np.where(k <= inside, t[np.maximum(at - k, 0)], END) for k in range(1, order)]
+    before = [t[:-1]]
+    if order > 2:
+        at = np.arange(1, len(t))
+        inside = at - place[np.searchsorted(place, at, "left") - 1]
+        before += [np.where(k <= inside, t[np.maximum(at - k, 0)], END) for k in range(2, order)]
     out = []
     for k in range(order - 1, 0, -1):
         h = before[k - 1]
@@ -341,15 +343,17 @@ class Model:
         """(tokens, known tokens, log10 probability by word counts, by the model) of each row."""
         t, place = tokens(data, off)
         ctx, then = contexts(t, place, self.order), t[1:]
-        look = lambda level, h: dict(zip(FIELDS, maps.look_up(level, h), strict=False))
-        word = look(1, then)
+        words, of = np.unique(t, return_inverse=True)  # the words that are looked up, as such and as contexts
+        known = dict(zip(FIELDS, maps.look_up(1, words), strict=True))
+        word, before = ({k: x[at] for k, x in known.items()} for at in (of[1:], of[:-1]))
         e, (m1, m2, *_) = discounts(self.counts[0]), self.counts[0]
         left = e[1] * m1 + e[2] * m2 + e[3] * max(0, self.vocabulary - m1 - m2)
         c = word["count"]
         p = np.maximum(0, c - e[np.minimum(c, 3)]) / max(1, self.kinds) + (left / self.kinds if self.kinds else 1.0) / (self.vocabulary + 1)
         for level in range(2, self.order + 1):
             h, d = ctx[self.order - level], discounts(self.counts[level - 1])
-            c, over = look(level, tv.join_hash(h, then))["count"], look(level - 1, h)
+            c = maps.found(level, tv.join_hash(h, then))[0]
+            over = before if level == 2 else dict(zip(FIELDS, maps.found(level - 1, h), strict=False))
             after = np.maximum(over["after"], 1)
             back = np.where(over["after"] > 0, (d[1] * over["once"] + d[2] * over["twice"] + d[3] * over["more"]) / after, 1.0)
             p = np.maximum(0, c - d[np.minimum(c, 3)]) / after + back * p
@@ -396,9 +400,13 @@ class Maps:
             f.flush()
             return np.memmap(f.name, np.uint8, "r")
 
-    def look_up(self, level: int, h: np.ndarray) -> list[np.ndarray]:
-        """The columns of the n-grams of so many words: zero for those that there aren't."""
+    def found(self, level: int, h: np.ndarray) -> list[np.ndarray]:
+        """look_up for hashes in any order."""
         keys, back = np.unique(h, return_inverse=True)
+        return [x[back] for x in self.look_up(level, keys)]
+
+    def look_up(self, level: int, keys: np.ndarray) -> list[np.ndarray]:
+        """The columns of the n-grams of so many words by their sorted hashes: zero for those that there aren't."""
         columns = len(FIELDS) if level == 1 else 1 if level == self.model.order else len(FIELDS) - 1
         out = np.zeros((columns, len(keys)), np.int64)
         for bucket, own in _by_range(keys, self.model.buckets[level - 1]):
@@ -412,7 +420,7 @@ class Maps:
                 if len(places) and len(many := np.flatnonzero(got == 255)):
                     got[many] = values[np.searchsorted(places, at[many])]
                 row[own.start + there] = got
-        return list(out[:, back])
+        return list(out)
 
 
 _opened: dict[str, Maps] = {}
