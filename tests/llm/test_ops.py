@@ -278,7 +278,8 @@ def test_a_store_without_paths_is_copied(spark, sf):
     near, far = langmodel.Maps(model), langmodel.Maps(model)
     far.fs = langmodel.pafs.SubTreeFileSystem("/", langmodel.pafs.LocalFileSystem())
     h = np.append(near._map("1-0")[0], np.arange(5, dtype=np.uint64))
-    assert np.array_equal(near.look_up(1, h), far.look_up(1, h)) and far._map("1-999") is None
+    assert np.array_equal(near.found(1, h), far.found(1, h)) and far._map("1-999") is None
+    assert np.array_equal(near.found(1, h)[0][:-5] > 0, np.ones(len(h) - 5)) and not any(x[-5:].any() for x in near.found(1, h))
     assert langmodel.opened(model) is langmodel.opened(model)
 
 
