@@ -70,6 +70,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return low / (len(a) + len(b) - low) if low else 0.0
 
 
+def similarities(span: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """similarity() of each window of n grams of a span with an item, all at once.
+
+    An occurrence of a gram that the item has c times counts in the windows that hold it, but for those that hold c earlier ones: it counts from the
+    window behind the c-th one before it on. So the sum of the smaller counts is a sum of such ranges."""
+    windows = len(span) - n + 1
+    grams, times = np.unique(item, return_counts=True)
+    of = np.minimum(np.searchsorted(grams, span), len(grams) - 1)
+    at = np.flatnonzero(grams[of] == span)
+    order = np.argsort(of[at], kind="stable")
+    at, of = at[order], of[at[order]]
+    rank, c = np.arange(len(at)) - np.searchsorted(of, of), times[of]
+    before = np.where(rank >= c, at[np.maximum(np.arange(len(at)) - c, 0)], -1)
+    begin = np.maximum(np.maximum(before, at - n) + 1, 0)
+    begin, end = begin[begin < windows], np.minimum(at + 1, windows)[begin < windows]
+    low = np.cumsum(np.bincount(begin, minlength=windows + 1) - np.bincount(end, minlength=windows + 1))[:windows]
+    return low / (n + len(item) - low)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -183,10 +202,15 @@ class Index:
                 for x in range(0, len(part), WINDOWS):
                     w = part[x : x + WINDOWS]
                     span = g[a + w[0] : a + w[-1] + grams]
+                    near: dict[int, list[int]] = {}
                     for wi, i in self.shelves[n].candidates(window_fingerprints(span, w - w[0], grams)):
-                        s = similarity(span[w[wi] - w[0] : w[wi] - w[0] + grams], self.grams[i])
-                        if s >= SIMILAR and s > best.get(i, (0.0, 0))[0]:
-                            best[i] = (s, int(w[wi]))
+                        near.setdefault(i, []).append(wi)
+                    for i, at_windows in near.items():
+                        at_windows = np.sort(at_windows)
+                        s = similarities(span, self.grams[i], grams)[at_windows]
+                        top = int(s.argmax())
+                        if s[top] >= SIMILAR and s[top] > best.get(i, (0.0, 0))[0]:
+                            best[i] = (float(s[top]), int(w[at_windows[top]]))
             found[r] += [(self.ids[i], begin_at, s) for i, (s, begin_at) in sorted(best.items())]
 
 
