@@ -679,6 +679,28 @@ def test_recall_at_the_similarity():
     assert near / total >= 0.99
 
 
+def test_similarities_of_all_windows_at_once():
+    rng = np.random.default_rng(10)
+    for kinds in (2, 5, 40, 1 << 40):
+        for n, m in ((1, 1), (7, 7), (20, 23), (20, 9)):
+            span, item = rng.integers(0, kinds, 90).astype(np.uint64), rng.integers(0, kinds, m).astype(np.uint64)
+            if kinds > 40:
+                span[30 : 30 + m] = item
+            want = [decontam.similarity(span[a : a + n], item) for a in range(len(span) - n + 1)]
+            assert decontam.similarities(span, item, n) == pytest.approx(want)
+
+
+def test_very_long_items_and_documents():
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 60_000)]
+    index = decontam.Index([1, 2, 3], [" ".join(words[10_000:40_000]), " ".join(words[:9000] + ["x"] * 9000), "same " * 20_000])
+    began = time.process_time()
+    data = " ".join([*words, *["same"] * 30_000]).encode()
+    (found,) = index.find(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert sorted(found) == [(1, 10_000, 1.0), (3, 60_000, 1.0)]
+    assert time.process_time() - began < 60
+
+
 def test_fingerprints_by_brute_force():
     rng = np.random.default_rng(9)
     grams = rng.integers(0, 1 << 63, 50).astype(np.uint64)
