@@ -322,6 +322,19 @@ def test_extracts_whole_articles(spark, sf):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+#: Pages by hand, in other layouts than the fixture's and the templates'.
+PAGES = {
+    '<html><head><title>T</title></head><body><div id="header"><a href="/">Site name</a></div><div class="menu"><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div><div id="content"><h1>The river in spring</h1><p>The water rose for three days, and on the fourth it stood at the doors of the mill.</p><p>Nobody slept. The miller, who had seen worse, counted the sacks again.</p><blockquote>It will go down, he said.</blockquote></div><div class="sidebar"><h3>Related</h3><ul><li><a href=/x>Other story</a></li></ul></div><div id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>Lovely story, I liked it very much indeed.</p></div></div><div class="footer">&copy; 2024 Site name</div></body></html>': 'The river in spring The water rose for three days, and on the fourth it stood at the doors of the mill. Nobody slept. The miller, who had seen worse, counted the sacks again. It will go down, he said.',
+    '<body><nav><a href=/>Start</a> <a href=/faq>FAQ</a></nav><main><h2>How to plant a pear tree</h2><ol><li>Dig a hole twice as wide as the roots.</li><li>Set the tree so that the graft stays above the soil.</li><li>Water it well, and again the next day.</li></ol><p>In dry years water once a week.</p></main><form class="newsletter"><label>Mail</label><input name=m><button>Subscribe now</button></form><footer>Imprint | Privacy</footer>': 'How to plant a pear tree Dig a hole twice as wide as the roots. Set the tree so that the graft stays above the soil. Water it well, and again the next day. In dry years water once a week.',
+    '<html><body><div class="cookie-banner"><p>We use cookies to improve your visit. By going on you accept them.</p><button>Accept</button></div><section class="post-body"><h1>Notes on bridges</h1><p>A stone bridge carries its own weight first, and only then yours.</p><div class="ad-slot">Buy cheap tools today, only here!</div><p>That is why the old ones are so heavy; a light one would fall at the first cart.</p></section><aside>Follow us for more</aside></body></html>': 'Notes on bridges A stone bridge carries its own weight first, and only then yours. That is why the old ones are so heavy; a light one would fall at the first cart.',
+    '<body><table><tr><td class=nav><a href=1>One</a><a href=2>Two</a><td class=text><p>An old page keeps its words in a table, as was the custom then.<p>It has no article tag, and its paragraphs are never closed.</table>': 'An old page keeps its words in a table, as was the custom then. It has no article tag, and its paragraphs are never closed.',
+}
+
+
+def test_pages_without_an_article_tag():
+    assert extract.main_texts(list(PAGES), extract.trained()) == list(PAGES.values())
+
+
 def test_held_out_templates():
     trees, maker, right, total = extract.trained(), extract._Maker(4242), 0.0, 0.0
     for _ in range(60):
