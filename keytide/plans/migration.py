@@ -145,11 +145,16 @@ class Migration:
     def target(self) -> Dataset:
         return Dataset.at(self.spark, f"{self.root}/destination")
 
-    def key_log(self) -> DataFrame:
-        return keylog.compact(self._log()) if self._log else self.spark.createDataFrame([], "op string, pk bigint, ts bigint")
+    def _entries(self, since: int | None) -> DataFrame:
+        """The change log from a second on, or all of it: the bound reaches the scan."""
+        return self._log() if since is None else self._log().where(F.col("ts") >= since)
 
-    def last_event(self) -> int | None:
-        return self._log().agg(F.max("ts")).first()[0] if self._log else None
+    def key_log(self, since: int | None = None) -> DataFrame:
+        """The compacted log, or its part from a second on."""
+        return keylog.compact(self._entries(since)) if self._log else self.spark.createDataFrame([], "op string, pk bigint, ts bigint")
+
+    def last_event(self, since: int | None = None) -> int | None:
+        return self._entries(since).agg(F.max("ts")).first()[0] if self._log else None
 
     # stages
 
@@ -240,9 +245,9 @@ class Migration:
         if self._log is None:
             state["caught_up_at"] = self._now()
             return True
-        last = self.last_event()
+        last = self.last_event(state["loaded"])
         if last is not None and state["loaded"] != last:
-            log = self.key_log()
+            log = self.key_log(state["loaded"])
             windows = keylog.windows(log, self.config.pending_max, state["width"], state["loaded"])
             if windows:
                 state["width"] = windows[-1][1] - windows[-1][0]
@@ -259,7 +264,7 @@ class Migration:
 
     def lag(self, state: dict) -> int:
         """Seconds of log behind the mark."""
-        last = self.last_event()
+        last = self.last_event(state["loaded"])
         return 0 if last is None or state["loaded"] == last else last - (state["loaded"] or 0)
 
     def _apply(self, state: dict) -> Stage:
@@ -294,9 +299,7 @@ class Migration:
 
     def unmatched(self, since: int | None = None) -> DataFrame:
         """What the key log from `since` on, or all of it, has left unmatched."""
-        log = self.key_log()
-        if since is not None:
-            log = log.where(F.col("ts") >= since)
+        log = self.key_log(since)
         return self.operation.unmatched(self.source(), self.target().read(), log.withColumnRenamed("pk", self.pk), self.pk)
 
     def debt(self, state: dict | None = None) -> DataFrame:
