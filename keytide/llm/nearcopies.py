@@ -1,13 +1,20 @@
-"""Near copies of the pipeline: texts whose sets of word 5-grams have a Jaccard similarity of SIMILAR or more, and components of them.
-
-A fingerprint's radius can't be both wide enough for this similarity and selective: at 0.8 two SimHashes of 64 bits differ in 10
-bits with a standard deviation of 3, and an index that finds all within 23 bits finds almost every pair of a corpus. So candidates come
-from min-hashes of the 5-gram sets: BANDS bands of ROWS minima each. A pair of similarity s shares no band with a chance of
-(1 - s^ROWS)^BANDS, 1e-6 at 0.8 and less above. Each candidate pair's similarity is then computed exactly from the texts.
-
-A band's bucket with more than HOT sets isn't joined with itself. Its sets are compared with its first one; components of what is
-found so far are formed; and in each cluster of buckets that share sets, workers compare each set outside the largest component with
-all sets of other components, in pairs of blocks. Pairs within a component need no comparison, so none that could change a component
+"""Near copies of the pipeline by SimHash: texts whose sets of word 5-grams have a Jaccard similarity of SIMILAR or more, and components of them.
+
+A set's fingerprint has TABLES segments of BITS sign bits and CHECK more. A bit is the sign of a sum over the 5-grams, of a byte that is hashed from
+each, less its mean. Two sets of similarity s have a cosine of 2 s / (1 + s) or more, so a bit differs with a chance of at most
+acos(8 / 9) / pi = 0.151 at 0.8, whatever their sizes, and with 0.5 in unrelated sets. op5's 64 bits can't be both wide enough
+for that and selective: these 2,528 are.
+
+The index is a multi-index hash with a table for each segment. Bits seldom differ but where a sum is near zero, so a set is entered in a table under the
+four keys that its WEAK weakest bits, either way, give. Two sets meet in a table if they agree in all bits that are weak in neither:
+with a chance of 0.131 at 0.8, so that all TABLES miss a pair with a chance of 1e-6 (less above), and of 2e-6 by an unrelated pair. Those that meet are compared in
+the CHECK bits: more than RADIUS differ with a chance of 2e-8 at 0.8, and in all but 3e-4 of unrelated pairs. Each
+pair's similarity that is left is then computed exactly from the texts. Entries are dealt to parts as packed arrays and paired by workers, some tables at a time, so
+that the disk holds a few tables' entries at once.
+
+A bucket with more than HOT sets (or four times the size that unrelated sets would give it) isn't joined with itself. Buckets that share sets are a
+cluster, and pairs within one are left to it. Its sets are compared with HEADS first sets of their buckets; components of what is found so far are formed; and
+workers compare each set outside a cluster's largest component with all its sets of other components, in pairs of blocks. Pairs within a component need no comparison, so none that could change a component
 is left out, and a large group's pairs never become rows.
 
 Words are as for the other operators; a text of fewer than five words is one gram of all its words. Equal sets count once until the end.
@@ -18,6 +25,7 @@ back; a null doc_id is never the smallest; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +35,26 @@ from pyspark.sql import functions as F
 from keytide.llm import textvec as tv
 from keytide.llm.components import components
 from keytide.llm.decontam import grams_of
-from keytide.llm.shared import saved, ship
+from keytide.llm.shared import remove_table, saved, ship
 from keytide.llm.simhash import _ranges, classes
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 35, 5
+SHINGLE, SIMILAR = 5, 0.8
+#: Segments of a fingerprint, their sign bits, and how many of these are entered both ways.
+TABLES, BITS, WEAK = 100, 24, 2
+#: Further sign bits, and the most in which a pair may differ.
+CHECK, RADIUS = 128, 44
 #: Sets in one bucket up to which its pairs are compared.
 HOT = 32
+#: First sets of larger buckets that each set of them is compared with before clusters are.
+HEADS = 4
 #: 5-grams in one of two blocks that a worker compares.
 BLOCK = 1 << 20
-_SALTS = tv.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(tv.BASE))
-_XOR, _ODD = _SALTS[::2], _SALTS[1::2] | np.uint64(1)
+#: Sets in a round of tables, up to ROUNDS of them, and entries in a part of a round.
+ROUND, ROUNDS, PART = 10_000, 10, 1 << 18
+_WORDS = (TABLES * BITS + CHECK) // 8
+_SALTS = tv.mix(np.arange(1, 3 * _WORDS + 1, dtype=np.uint64) * np.uint64(tv.BASE))
+_XOR, _ODD, _ODD2 = _SALTS[::3], _SALTS[1::3] | np.uint64(1), _SALTS[2::3] | np.uint64(1)
+_ENTRY = np.dtype([("key", "<u4"), ("n", "<u4"), ("fp", "<i8"), ("check", "<u8", CHECK // 64)])
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -51,27 +69,116 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(tv.mix(tv.mix(s + np.uint64(tv.BASE)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) if len(s) else 0 for s in sets], np.uint64)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS keys for each set, none of which may be empty."""
-    if not sets:
-        return np.zeros((0, BANDS), np.uint64)
-    every, at = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
-    low = [np.minimum.reduceat((every ^ x) * m, at) for x, m in zip(_XOR, _ODD, strict=True)]
-    return np.stack([tv.join_hash(*low[i : i + ROWS]) for i in range(0, BANDS * ROWS, ROWS)], axis=1)
+def sums(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of sums for each set, none of which may be empty: twice the bytes hashed from its grams, less their mean. Their signs are the fingerprint."""
+    out = np.zeros((len(sets), 8 * _WORDS), np.int32)
+    # up to 256 bytes are summed in lanes of 16 bits, four to a word
+    runs = [(i, at, min(at + 256, len(s))) for i, s in enumerate(sets) for at in range(0, len(s), 256)]
+    even = np.uint64(0x00FF00FF00FF00FF)
+    for lo in range(0, len(runs), 256):
+        some = runs[lo : lo + 256]
+        grams = np.concatenate([sets[i][a:b] for i, a, b in some])
+        at = np.cumsum([0, *(b - a for _, a, b in some[:-1])])
+        lanes = np.empty((_WORDS, 2, len(some)), np.uint64)
+        h, t = np.empty_like(grams), np.empty_like(grams)
+        for j in range(_WORDS):
+            np.multiply(np.bitwise_xor(grams, _XOR[j], out=h), _ODD[j], out=h)
+            np.multiply(np.bitwise_xor(h, np.right_shift(h, np.uint64(32), out=t), out=h), _ODD2[j], out=h)
+            np.bitwise_xor(h, np.right_shift(h, np.uint64(29), out=t), out=h)
+            np.add.reduceat(np.bitwise_and(h, even, out=t), at, out=lanes[j, 0])
+            np.right_shift(h, np.uint64(8), out=h)
+            np.add.reduceat(np.bitwise_and(h, even, out=t), at, out=lanes[j, 1])
+        of = np.array([i for i, _, _ in some])
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        each = lanes.transpose(2, 0, 1).copy().view(np.uint16).reshape(len(some), -1)
+        out[of[first]] += 2 * np.add.reduceat(each, first, axis=0, dtype=np.int32)
+    return out - 255 * np.array([len(s) for s in sets], np.int32)[:, None]
+
+
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, none of which may be empty: BITS // 8 bytes of signs and the places of the WEAK weakest for each table, and CHECK // 8 bytes of signs."""
+    tables, check = [np.zeros((0, TABLES, BITS // 8 + WEAK), np.uint8)], [np.zeros((0, CHECK // 8), np.uint8)]
+    for lo in range(0, len(sets), 512):
+        s = sums(sets[lo : lo + 512])
+        part = s[:, : TABLES * BITS].reshape(len(s), TABLES, BITS)
+        weak = np.partition(np.abs(part).astype(np.int64) << 5 | np.arange(BITS), range(WEAK), axis=2)[:, :, :WEAK] & 31
+        tables.append(np.concatenate([np.packbits(part > 0, axis=2, bitorder="little"), weak.astype(np.uint8)], axis=2))
+        check.append(np.packbits(s[:, TABLES * BITS :] > 0, axis=1))
+    return np.concatenate(tables), np.concatenate(check)
+
+
+def entries(ids: np.ndarray, n: np.ndarray, check: np.ndarray, tables: np.ndarray, some: range) -> np.ndarray:
+    """What sets enter in some of the tables: 2 ** WEAK entries in each, under the table's number and a key."""
+    own = tables[:, some]
+    keys = np.array(some, np.uint32) << np.uint32(BITS)
+    for i in range(BITS // 8):
+        keys = keys | own[:, :, i].astype(np.uint32) << np.uint32(8 * i)
+    keys = keys[:, :, None]
+    for i in range(WEAK):
+        bit = np.uint32(1) << own[:, :, BITS // 8 + i].astype(np.uint32)
+        keys = np.concatenate([keys, keys ^ bit[:, :, None]], axis=2)
+    out = np.empty(keys.shape, _ENTRY)
+    out["key"], out["n"], out["fp"] = keys, n[:, None, None], ids[:, None, None]
+    out["check"] = np.ascontiguousarray(check).view("<u8")[:, None, None]
+    return out.ravel()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, keys = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.uint64)]
+        ids, sizes, tables, check = [np.zeros(0, np.uint64)], [], [], []
         for _, _, data, off in tv.chunks(batch.column(2)):
             sets = gram_sets(data, off)
             ids.append(set_ids(sets))
             sizes += [len(s) for s in sets]
-            keys.append(band_keys([s for s in sets if len(s)]).ravel())
-        to = np.cumsum([0, *(BANDS if n else 0 for n in sizes)]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(keys).view(np.int64)))
-        cols = [batch.column(0), batch.column(1), pa.array(np.concatenate(ids).view(np.int64)), pa.array(sizes, pa.int64()), bands]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "fp", "n", "bands"])
+            t, c = fingerprints([s for s in sets if len(s)])
+            rows = zip(t, c, strict=True)
+            for s in sets:
+                a, b = next(rows) if len(s) else (None, None)
+                tables.append(a if a is None else a.tobytes())
+                check.append(b if b is None else b.tobytes())
+        cols = [batch.column(0), batch.column(1), pa.array(np.concatenate(ids).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(tables, pa.binary()), pa.array(check, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "fp", "n", "tables", "check"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], some: range, parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries of batches(fp, n, tables, check), packed for each part."""
+    for batch in batches:
+        for lo in range(0, len(batch), 2048):
+            fp, n, tables, check = (batch.column(i).slice(lo, 2048) for i in range(4))
+            bytes_of = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8)
+            rows = entries(fp.to_numpy(), n.to_numpy(), bytes_of(check).reshape(len(fp), -1), bytes_of(tables).reshape(len(fp), TABLES, -1), some)
+            to = (tv.mix(rows["key"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            rows, cuts = rows[order], np.flatnonzero(np.diff(to[order])) + 1
+            packed = [x.tobytes() for x in np.split(rows, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][np.concatenate([[0], cuts])]), pa.array(packed, pa.binary())], ["part", "rows"])
+
+
+def _met(part: pa.Table, similar: float, radius: int, hot: int) -> pa.Table:
+    """Of the entries of a part: (a, b, near, star). Pairs of sets that meet in a bucket and may be similar (near); the first set of each bucket of more
+    than `hot` with each other set of it (star), near or not."""
+    rows = np.frombuffer(b"".join(part["rows"].to_pylist()), _ENTRY)
+    rows = rows[np.lexsort((rows["fp"], rows["key"]))]
+    key, many = rows["key"], len(rows)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(begin, append=many)
+    first, size = np.repeat(begin, size), np.repeat(size, size)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y = rows["n"][i].astype(float), rows["n"][j].astype(float)
+        differ = np.bitwise_count(rows["check"][i] ^ rows["check"][j]).sum(axis=1, dtype=np.int64)
+        return (np.minimum(x, y) >= similar * np.maximum(x, y)) & (differ <= radius)
+
+    j = np.flatnonzero((size > hot) & (first != np.arange(many)))
+    found = [(first[j], j, near(first[j], j), np.ones(len(j), bool))]
+    i, step = np.flatnonzero((size > 1) & (size <= hot)), 1
+    while len(i := i[i + step < first[i] + size[i]]):
+        ok = i[near(i, i + step)]
+        found.append((ok, ok + step, np.ones(len(ok), bool), np.zeros(len(ok), bool)))
+        step += 1
+    i, j, close, star = (np.concatenate(x) for x in zip(*found, strict=True))
+    out = np.unique(np.stack([rows["fp"][i], rows["fp"][j], close, star], axis=1), axis=0)
+    return pa.table({"a": out[:, 0], "b": out[:, 1], "near": out[:, 2].astype(bool), "star": out[:, 3].astype(bool)})
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +224,18 @@ def _compared(part: pa.Table, similar: float) -> pa.Table:
 def _grams(docs: DataFrame, sets: DataFrame, fps: DataFrame) -> DataFrame:
     """(fp, grams) of the sets in fps(fp)."""
     texts = docs.select(F.xxhash64("text").alias("same"), "text").join(sets.join(fps, "fp", "left_semi").select("same"), "same", "left_semi")
-    return saved(texts.select("text").mapInArrow(_gram_rows, "fp long, grams binary").dropDuplicates(["fp"]), "copies-grams")
+    return saved(texts.select("text").mapInArrow(_gram_rows, "fp long, grams binary").dropDuplicates(["fp"]), "copies-grams", lean=True)
 
 
 def _similar(grams: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """The pairs(a, b) of sets whose exact similarity is `similar` or more."""
     of = lambda end: grams.select(F.col("fp").alias(end), F.col("grams").alias(f"g{end}"))
-    return saved(pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrow_udf(_jaccard, "double")("ga", "gb") >= similar).select("a", "b"), "copies-links")
+    return saved(pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrow_udf(_jaccard, "double")("ga", "gb") >= similar).select("a", "b"), "copies-links", lean=True)
 
 
-def _between(grams: DataFrame, sets: DataFrame, found: DataFrame, stars: DataFrame, similar: float) -> DataFrame:
-    """Links between the components of found(a, b) within the clusters of stars(a, b)."""
+def _between(grams: DataFrame, sets: DataFrame, found: DataFrame, clusters: DataFrame, similar: float) -> DataFrame:
+    """Links between the components of found(a, b) within clusters(fp, cluster)."""
     roots = components(found, "copies-first").withColumnRenamed("id", "fp")
-    clusters = components(stars, "copies-clusters").select(F.col("id").alias("fp"), F.col("root").alias("cluster"))
     rows = clusters.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(sets.select("fp", "n"), "fp")
     rows = saved(rows, "copies-hot")
     sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -140,29 +246,46 @@ def _between(grams: DataFrame, sets: DataFrame, found: DataFrame, stars: DataFra
     return saved(rows.groupBy("cluster", "i", "j").applyInArrow(lambda part: _compared(part, similar), "a long, b long"), "copies-more")
 
 
+def meetings(sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b, near, star) as of _met(), of all tables, each pair once."""
+    count = sets.count()
+    rounds = min(ROUNDS, 1 + count // ROUND)
+    radius, hot = RADIUS, max(HOT, 4 * (count * 2**WEAK >> BITS))
+    found = []
+    for i in range(rounds):
+        some = range(i, TABLES, rounds)
+        parts = 4 + count * len(some) * 2**WEAK // PART
+        dealt = sets.select("fp", "n", "tables", "check").mapInArrow(partial(_dealt, some=some, parts=parts), "part int, rows binary")
+        met = dealt.groupBy("part").applyInArrow(lambda part: _met(part, similar, radius, hot), "a long, b long, near boolean, star boolean")
+        found.append(saved(met, "copies-met", lean=True))
+    once = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("near").alias("near"), F.max("star").alias("star"))
+    out = saved(once, "copies-pairs", lean=True)
+    for x in found:
+        remove_table(x)
+    return out
+
+
 def links(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): links between sets(fp, same, n, bands) of docs, of which all have `similar` or more, and which reach what all such
+    """(a, b): links between sets(fp, same, n, tables, check) of docs, of which all have `similar` or more, and which reach what all such
     pairs reach."""
-    shelf = sets.select("fp", "n", F.posexplode("bands").alias("t", "k"))
-    shared = shelf.groupBy("t", "k").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n")).alias("head")).where("many > 1")
-    shelf = saved(shelf.join(shared, ["t", "k"]), "copies-shelf")
-    end = lambda df, a: df.select("t", "k", F.col("fp").alias(a), F.col("n").alias(f"n{a}"))
-    sizes = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similar
-    mild, hot = shelf.where(F.col("many") <= HOT), shelf.where(F.col("many") > HOT)
-    near = end(mild, "a").join(end(mild, "b"), ["t", "k"]).where((F.col("a") < F.col("b")) & sizes(F.col("na"), F.col("nb"))).select("a", "b")
-    stars = hot.where((F.col("fp") != F.col("head.fp")) & sizes(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"))
-    pairs = saved(near.union(stars).distinct(), "copies-pairs")
-    grams = _grams(docs, sets, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(hot.select("fp")).distinct())
+    met = meetings(sets.where("n > 0"), similar)
+    grams = _grams(docs, sets, met.select(F.col("a").alias("fp")).union(met.select("b")).distinct())
+    stars, pairs = met.where("star"), met.where("near and not star").select("a", "b")
+    if stars.isEmpty():
+        return _similar(grams, pairs, similar)
+    clusters = saved(components(stars.select("a", "b"), "copies-clusters").select(F.col("id").alias("fp"), F.col("root").alias("cluster")), "copies-clusters", lean=True)
+    for end in ("a", "b"):
+        pairs = pairs.join(clusters.select(F.col("fp").alias(end), F.col("cluster").alias(f"of_{end}")), end, "left")
+    few = stars.where("near").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, HEADS).alias("heads"))
+    pairs = pairs.where("not coalesce(of_a = of_b, false)").select("a", "b").union(few.select(F.explode("heads").alias("a"), "b"))
     found = _similar(grams, pairs, similar)
-    if hot.isEmpty():
-        return found
-    return found.union(_between(grams, sets, found, hot.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")), similar))
+    return found.union(_between(grams, sets, found, clusters, similar))
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """simhash.classes() of the 5-gram sets of docs; fp is a hash of the set."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
-    rows = saved(rows.mapInArrow(_sketched, "doc_id long, same long, fp long, n long, bands array<long>"), "copies")
-    sets = saved(rows.groupBy("fp").agg(F.min("same").alias("same"), F.first("n").alias("n"), F.first("bands").alias("bands")), "copies-sets")
+    rows = saved(rows.mapInArrow(_sketched, "doc_id long, same long, fp long, n long, tables binary, check binary"), "copies")
+    sets = saved(rows.groupBy("fp").agg(F.min("same").alias("same"), *(F.first(c).alias(c) for c in ("n", "tables", "check"))), "copies-sets", lean=True)
     return classes(rows.select("doc_id", "same", "fp"), lambda _: links(docs, sets, similar), "copies")

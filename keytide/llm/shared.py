@@ -47,10 +47,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, label))
+def saved(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+    """df as a written table in the shared folder: it cuts the lineage and survives lost executors. If lean, the shuffle files
+    behind it go at once, and not when the driver collects its garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if lean:
+        spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path := scratch(spark, label))
+    finally:
+        if lean:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import collections
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,28 @@ def test_near_copies_of_the_fixture_and_edge_cases(spark, sf, messy, none):
     assert simhash.keep_one(none, nearcopies.near_copies).count() == 0
 
 
+def test_sign_bits_of_sets_differ_by_their_angle():
+    r = np.random.default_rng(4)
+    for n, extra in ((9, 1), (300, 33)):
+        grams = [r.integers(0, 2**63, n + extra, dtype=np.uint64) for _ in range(300)]
+        (at, ac), (bt, bc) = (nearcopies.fingerprints(s) for s in ([np.sort(g[:n]) for g in grams], [np.sort(g[extra:]) for g in grams]))
+        angle = np.arccos((n - extra) / n) / np.pi
+        assert abs(np.bitwise_count(ac ^ bc).mean() / 8 - angle) < 0.01 and abs(np.bitwise_count(ac ^ np.roll(bc, 1, 0)).mean() / 8 - 0.5) < 0.01
+        ids, size = np.arange(300), np.full(300, n)
+        a, b = (nearcopies.entries(ids, size, c, t, range(nearcopies.TABLES))["key"].reshape(300, nearcopies.TABLES, -1) for t, c in ((at, ac), (bt, bc)))
+        met = (a[:, :, :, None] == b[:, :, None, :]).any((2, 3))
+        # 0.8 and 0.802: every pair meets somewhere, and unrelated ones hardly ever
+        assert 0.11 < met.mean() < 0.16 and met.any(1).all()
+        assert (a[:, :, :, None] == np.roll(b, 1, 0)[:, :, None, :]).any((2, 3)).mean() < 1e-4
+
+
+def test_the_stage_gets_its_pairs_by_sign_bits(spark, monkeypatch):
+    rows = copies(3)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    monkeypatch.setattr(nearcopies, "RADIUS", -1)
+    assert corpus_pipeline.stage_simhash(spark, df, "").count() == len({grams(t) for _, t in rows})
+
+
 def written(folder, docs, labels, benchmark):
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
         df.write.parquet(f"{folder}/{name}.parquet")
