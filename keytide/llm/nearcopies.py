@@ -7,7 +7,7 @@ for that and selective: these 2,528 are.
 
 The index is a multi-index hash with a table for each segment. Bits seldom differ but where a sum is near zero, so a set is entered in a table under the
 four keys that its WEAK weakest bits, either way, give. Two sets meet in a table if they agree in all bits that are weak in neither:
-with a chance of 0.131 at 0.8, so that all TABLES miss a pair with a chance of 1e-6 (less above), and of 2e-6 by an unrelated pair. Those that meet are compared in
+with a chance of 0.131 at 0.8, so that all TABLES miss a pair with a chance of 1e-6 (less above), and of 1e-6 a table for an unrelated pair. Those that meet are compared in
 the CHECK bits: more than RADIUS differ with a chance of 2e-8 at 0.8, and in all but 3e-4 of unrelated pairs. Each
 pair's similarity that is left is then computed exactly from the texts. Entries are dealt to parts as packed arrays and paired by workers, some tables at a time, so
 that the disk holds a few tables' entries at once.
