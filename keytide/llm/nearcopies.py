@@ -8,14 +8,16 @@ for that and selective: these 2,528 are.
 The index is a multi-index hash with a table for each segment. Bits seldom differ but where a sum is near zero, so a set is entered in a table under the
 four keys that its WEAK weakest bits, either way, give. Two sets meet in a table if they agree in all bits that are weak in neither:
 with a chance of 0.131 at 0.8, so that all TABLES miss a pair with a chance of 1e-6 (less above), and of 1e-6 a table for an unrelated pair. Those that meet are compared in
-the CHECK bits: more than RADIUS differ with a chance of 2e-8 at 0.8, and in all but 3e-4 of unrelated pairs. Each
-pair's similarity that is left is then computed exactly from the texts. Entries are dealt to parts as packed arrays and paired by workers, some tables at a time, so
-that the disk holds a few tables' entries at once.
+the CHECK bits: more than RADIUS differ with a chance of 2e-8 at 0.8, and in all but 3e-4 of unrelated pairs. Entries are dealt to parts as packed arrays and
+paired by workers, some tables at a time, so that the disk holds a few tables' entries at once. The pairs in a bucket with more than HOT sets (or four times the
+size that unrelated sets would give it) aren't compared in these bits: all its sets count as near its first one.
 
-A bucket with more than HOT sets (or four times the size that unrelated sets would give it) isn't joined with itself. Buckets that share sets are a
-cluster, and pairs within one are left to it. Its sets are compared with HEADS first sets of their buckets; components of what is found so far are formed; and
-workers compare each set outside a cluster's largest component with all its sets of other components, in pairs of blocks. Pairs within a component need no comparison, so none that could change a component
-is left out, and a large group's pairs never become rows.
+Pairs never become rows, as a group's grow with the square of its size. What is near in a part forms groups, and a part gives a star for each: its
+first set with each other one. A group of two is compared exactly from the texts, and a set of larger ones with the first sets of HEADS of its groups; components of
+what is found so far are formed. A group within one component needs nothing more. Of the others, sets of other components than the first set's are compared among themselves, and with the rest
+unless the triangle inequality of Jaccard distances rules links out: where all in the first set's component are linked to it directly and all others are more than
+twice the distance of a link away. Stars of what is to be compared that share sets are a cluster, and workers compare each set outside a cluster's
+largest component with all its sets of other components, in pairs of blocks. So no pair that meets, is near and could change a component is left out.
 
 Words are as for the other operators; a text of fewer than five words is one gram of all its words. Equal sets count once until the end.
 Edge cases: null, empty and word-less texts have the empty set and are one component; repeated rows fall in one component and all come
@@ -45,7 +47,7 @@ TABLES, BITS, WEAK = 100, 24, 2
 CHECK, RADIUS = 128, 44
 #: Sets in one bucket up to which its pairs are compared.
 HOT = 32
-#: First sets of larger buckets that each set of them is compared with before clusters are.
+#: First sets of larger groups that each set of them is compared with before clusters are.
 HEADS = 4
 #: 5-grams in one of two blocks that a worker compares.
 BLOCK = 1 << 20
@@ -154,15 +156,29 @@ def _dealt(batches: Iterator[pa.RecordBatch], some: range, parts: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(to[order][np.concatenate([[0], cuts])]), pa.array(packed, pa.binary())], ["part", "rows"])
 
 
+def _lowest(many: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of so many nodes the lowest one that links (i, j) reach."""
+    low = np.arange(many)
+    while True:
+        x, y = low[i], low[j]
+        if not (apart := x != y).any():
+            return low
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low != (up := low[low])).any():
+            low = up
+
+
 def _met(part: pa.Table, similar: float, radius: int, hot: int) -> pa.Table:
-    """Of the entries of a part: (a, b, near, star). Pairs of sets that meet in a bucket and may be similar (near); the first set of each bucket of more
-    than `hot` with each other set of it (star), near or not."""
+    """Of the entries of a part: (a, b, near, more). Sets that meet in a bucket and may be similar, and those of a bucket of more than `hot`, form groups;
+    the first set of each with each other one, whether these two are near, and whether there are more."""
     rows = np.frombuffer(b"".join(part["rows"].to_pylist()), _ENTRY)
     rows = rows[np.lexsort((rows["fp"], rows["key"]))]
     key, many = rows["key"], len(rows)
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(begin, append=many)
     first, size = np.repeat(begin, size), np.repeat(size, size)
+    fps, at, node = np.unique(rows["fp"], return_index=True, return_inverse=True)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = rows["n"][i].astype(float), rows["n"][j].astype(float)
@@ -170,15 +186,16 @@ def _met(part: pa.Table, similar: float, radius: int, hot: int) -> pa.Table:
         return (np.minimum(x, y) >= similar * np.maximum(x, y)) & (differ <= radius)
 
     j = np.flatnonzero((size > hot) & (first != np.arange(many)))
-    found = [(first[j], j, near(first[j], j), np.ones(len(j), bool))]
+    found = [(node[first[j]], node[j])]
     i, step = np.flatnonzero((size > 1) & (size <= hot)), 1
     while len(i := i[i + step < first[i] + size[i]]):
         ok = i[near(i, i + step)]
-        found.append((ok, ok + step, np.ones(len(ok), bool), np.zeros(len(ok), bool)))
+        found.append((node[ok], node[ok + step]))
         step += 1
-    i, j, close, star = (np.concatenate(x) for x in zip(*found, strict=True))
-    out = np.unique(np.stack([rows["fp"][i], rows["fp"][j], close, star], axis=1), axis=0)
-    return pa.table({"a": out[:, 0], "b": out[:, 1], "near": out[:, 2].astype(bool), "star": out[:, 3].astype(bool)})
+    low = _lowest(len(fps), *(np.concatenate(x) for x in zip(*found, strict=True)))
+    b = np.flatnonzero(low != np.arange(len(low)))
+    a = low[b]
+    return pa.table({"a": fps[a], "b": fps[b], "near": near(at[a], at[b]), "more": np.bincount(low, minlength=1)[a] > 2})
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,15 +244,27 @@ def _grams(docs: DataFrame, sets: DataFrame, fps: DataFrame) -> DataFrame:
     return saved(texts.select("text").mapInArrow(_gram_rows, "fp long, grams binary").dropDuplicates(["fp"]), "copies-grams", lean=True)
 
 
-def _similar(grams: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs(a, b) of sets whose exact similarity is `similar` or more."""
+def _similarities(grams: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs(a, b) of sets, exactly."""
     of = lambda end: grams.select(F.col("fp").alias(end), F.col("grams").alias(f"g{end}"))
-    return saved(pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrow_udf(_jaccard, "double")("ga", "gb") >= similar).select("a", "b"), "copies-links", lean=True)
+    return saved(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.arrow_udf(_jaccard, "double")("ga", "gb").alias("similarity")), "copies-links", lean=True)
 
 
-def _between(grams: DataFrame, sets: DataFrame, found: DataFrame, clusters: DataFrame, similar: float) -> DataFrame:
-    """Links between the components of found(a, b) within clusters(fp, cluster)."""
-    roots = components(found, "copies-first").withColumnRenamed("id", "fp")
+def _unsettled(stars: DataFrame, compared: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """(a, b): links between sets of the groups of stars(a, b) that may hold pairs of `similar` or more between components."""
+    for end in ("a", "b"):
+        stars = stars.join(roots.select(F.col("fp").alias(end), F.col("root").alias(f"of_{end}")), end, "left")
+    stars = stars.join(compared, ["a", "b"], "left").withColumn("apart", F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    # 1 - similarity is a metric; a hair less, for rounding
+    far = F.col("similarity") < 2 * similar - 1 - 1e-9
+    stars = stars.withColumn("clear", F.coalesce(F.when(F.col("apart"), far).otherwise(F.col("similarity") >= similar), F.lit(False)))
+    stars = saved(stars.select("a", "b", "apart", "clear"), "copies-stars", lean=True)
+    heads = stars.groupBy("a").agg(F.min(F.when(F.col("apart"), F.col("b"))).alias("head"), F.min("clear").alias("split")).where("head is not null")
+    return stars.join(heads, "a").where("apart or not split").select(F.when(F.col("split"), F.col("head")).otherwise(F.col("a")).alias("a"), "b")
+
+
+def _between(grams: DataFrame, sets: DataFrame, roots: DataFrame, clusters: DataFrame, similar: float) -> DataFrame:
+    """Links between the components of roots(fp, root) within clusters(fp, cluster)."""
     rows = clusters.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(sets.select("fp", "n"), "fp")
     rows = saved(rows, "copies-hot")
     sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -247,7 +276,7 @@ def _between(grams: DataFrame, sets: DataFrame, found: DataFrame, clusters: Data
 
 
 def meetings(sets: DataFrame, similar: float) -> DataFrame:
-    """(a, b, near, star) as of _met(), of all tables, each pair once."""
+    """(a, b, near, more) as of _met(), of all tables, each pair once."""
     count = sets.count()
     rounds = min(ROUNDS, 1 + count // ROUND)
     radius, hot = RADIUS, max(HOT, 4 * (count * 2**WEAK >> BITS))
@@ -256,9 +285,9 @@ def meetings(sets: DataFrame, similar: float) -> DataFrame:
         some = range(i, TABLES, rounds)
         parts = 4 + count * len(some) * 2**WEAK // PART
         dealt = sets.select("fp", "n", "tables", "check").mapInArrow(partial(_dealt, some=some, parts=parts), "part int, rows binary")
-        met = dealt.groupBy("part").applyInArrow(lambda part: _met(part, similar, radius, hot), "a long, b long, near boolean, star boolean")
+        met = dealt.groupBy("part").applyInArrow(lambda part: _met(part, similar, radius, hot), "a long, b long, near boolean, more boolean")
         found.append(saved(met, "copies-met", lean=True))
-    once = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("near").alias("near"), F.max("star").alias("star"))
+    once = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.max("near").alias("near"), F.max("more").alias("more"))
     out = saved(once, "copies-pairs", lean=True)
     for x in found:
         remove_table(x)
@@ -270,16 +299,16 @@ def links(docs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFra
     pairs reach."""
     met = meetings(sets.where("n > 0"), similar)
     grams = _grams(docs, sets, met.select(F.col("a").alias("fp")).union(met.select("b")).distinct())
-    stars, pairs = met.where("star"), met.where("near and not star").select("a", "b")
-    if stars.isEmpty():
-        return _similar(grams, pairs, similar)
-    clusters = saved(components(stars.select("a", "b"), "copies-clusters").select(F.col("id").alias("fp"), F.col("root").alias("cluster")), "copies-clusters", lean=True)
-    for end in ("a", "b"):
-        pairs = pairs.join(clusters.select(F.col("fp").alias(end), F.col("cluster").alias(f"of_{end}")), end, "left")
-    few = stars.where("near").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, HEADS).alias("heads"))
-    pairs = pairs.where("not coalesce(of_a = of_b, false)").select("a", "b").union(few.select(F.explode("heads").alias("a"), "b"))
-    found = _similar(grams, pairs, similar)
-    return found.union(_between(grams, sets, found, clusters, similar))
+    heads = F.slice(F.sort_array(F.collect_set(F.struct((~F.col("near")).alias("far"), "a"))), 1, HEADS)
+    few = met.where("more").groupBy("b").agg(heads.alias("heads")).select(F.explode("heads.a").alias("a"), "b")
+    compared = _similarities(grams, met.where("not more").select("a", "b").union(few))
+    found = compared.where(F.col("similarity") >= similar).select("a", "b")
+    if met.where("more").isEmpty():
+        return found
+    roots = components(found, "copies-first").withColumnRenamed("id", "fp")
+    unsettled = _unsettled(met.where("more").select("a", "b"), compared, roots, similar)
+    clusters = saved(components(unsettled, "copies-clusters").select(F.col("id").alias("fp"), F.col("root").alias("cluster")), "copies-clusters", lean=True)
+    return found.union(_between(grams, sets, roots, clusters, similar))
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

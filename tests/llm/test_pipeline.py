@@ -60,6 +60,42 @@ def test_near_copies_at_the_similarity_stay_once(spark, monkeypatch, hot, block)
     assert sorted(r.doc_id for r in corpus_pipeline.stage_simhash(spark, df, "").collect()) == want
 
 
+def chains(n=24):
+    """Windows that slide over texts: similarities of neighbours are 0.9, and 0.74 at one place in the middle of each."""
+    r = random.Random(6)
+    long = [[f"w{r.randrange(10**6)}" for _ in range(1000)] for _ in range(2)]
+    out = [" ".join(w[at : at + 200]) for w in long for at in [10 * i + 20 * (i >= n // 2) for i in range(n)]]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("each", [60, 120])
+def test_rows_of_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch, each):
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base[:at] + [f"x{i}"] + base[at + 1 :]) for i, at in ((i, r.randrange(200)) for i in range(each))]
+    made, meetings = [], nearcopies.meetings
+    monkeypatch.setattr(nearcopies, "meetings", lambda *args: made.append(meetings(*args)) or made[0])
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    assert [x.doc_id for x in corpus_pipeline.stage_simhash(spark, df, "").collect()] == [0] == heads(rows)
+    assert each - 1 <= made[0].count() <= 8 * each
+
+
+@pytest.mark.parametrize(("first", "block"), [(1, 3000), (4, 1 << 20)])
+def test_links_that_stars_leave_out_are_found(spark, monkeypatch, first, block):
+    rows = [(i, t) for i, (_, t) in enumerate(copies() + chains())]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    want = heads(rows)
+    monkeypatch.setattr(nearcopies, "HEADS", first)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    assert sorted(x.doc_id for x in corpus_pipeline.stage_simhash(spark, df, "").collect()) == want
+    # all sets in one group, whose first set is similar to few of them
+    one = lambda sets, _: sets.crossJoin(sets.agg(F.min("fp").alias("a"))).where("fp > a").select("a", F.col("fp").alias("b"), F.lit(True).alias("near"), F.lit(True).alias("more"))
+    monkeypatch.setattr(nearcopies, "meetings", one)
+    assert sorted(x.doc_id for x in corpus_pipeline.stage_simhash(spark, df, "").collect()) == want
+
+
 def test_near_copies_of_the_fixture_and_edge_cases(spark, sf, messy, none):
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), messy):
         kept = simhash.keep_one(df, nearcopies.near_copies)
