@@ -89,10 +89,12 @@ class Operation:
         return late.union(self.not_removed(src, dst, of("D"), pk).select(pk, F.lit("not_removed"))).distinct()
 
     def recheck(self, src: DataFrame, dst: DataFrame, found: DataFrame, pk: str) -> DataFrame:
-        """What of unmatched(pk, unmatch_type) still is."""
+        """What of unmatched(pk, unmatch_type) still is. By an operation's own checks, a key that rows of both kinds have is owed until none is stale."""
+        if not self._own("not_inserted", "not_updated", "not_removed", "rematched_updated", "rematched_removed"):
+            return compare.recheck(src, dst, found, pk, self.mode)
         of = lambda kind: found.where(F.col("unmatch_type") == kind).select(pk)
-        good = self.rematched_updated(src, dst, of("not_updated"), pk).select(pk, F.lit("not_updated").alias("unmatch_type"))
-        good = good.union(self.rematched_removed(src, dst, of("not_removed"), pk).select(pk, F.lit("not_removed")))
+        good = self.rematched_updated(src, dst, of("not_updated"), pk).select(pk).join(self.not_updated(src, dst, of("not_updated"), pk), pk, "left_anti")
+        good = good.select(pk, F.lit("not_updated").alias("unmatch_type")).union(self.rematched_removed(src, dst, of("not_removed"), pk).select(pk, F.lit("not_removed")))
         return found.join(good, [pk, "unmatch_type"], "left_anti")
 
 

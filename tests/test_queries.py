@@ -57,7 +57,7 @@ def twice(spark, tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["metrics", "unmatched_after_recheck", "unmatched_rows"])
+@pytest.mark.parametrize("name", ["metrics", "unmatched_after_recheck", "unmatched_rows", "validation_rounds"])
 def test_matches_sql_where_the_destination_has_keys_twice(spark, twice, name):
     d, con = twice
     assert rows(QUERIES[name](spark, d).toPandas()) == rows(con.sql(ORACLES[name]).df())
