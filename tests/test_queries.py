@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keytide.catalog import ORACLES, QUERIES
+from keytide.operators import mutate
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -63,6 +64,13 @@ def test_matches_sql_where_the_destination_has_keys_twice(spark, twice, name):
     assert rows(QUERIES[name](spark, d).toPandas()) == rows(con.sql(ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", ["apply_batch_in_order", "apply_updates", "apply_batch"])
+def test_tasks_of_an_application_grow_in_number_and_not_in_rows(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(mutate, "TASK_BYTES", 1000, raising=False)
+    tasks = QUERIES[name](spark, sf).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert tasks.sum() > 1300 and tasks.max() < 150  # the session has 4 shuffle partitions
+
+
 def test_golden_counts(spark, sf):
     golden = {"not_imported": 16, "not_inserted": 1, "not_updated_base": 12, "not_updated_cross": 9, "not_removed": 6, "reinserted_keys": 110, "batch_updated_minus_removed": 611, "batch_removed": 153}
     assert {n: QUERIES[n](spark, sf).count() for n in golden} == golden
